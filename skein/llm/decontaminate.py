@@ -62,10 +62,12 @@ def _fingerprints(words: Column, window: int, gram: int, lengths: list[int]) ->
     """Winnowed fingerprints, and all runs of the lengths of short items; none from too few words."""
     none = F.expr("CAST(array() AS array<struct<at:int,hash:bigint>>)")
     parts = [F.when(F.size(words) >= window, _winnowed(_runs(words, gram), window - gram + 1)).otherwise(none)]
-    for n in lengths:
-        every = _let(_runs(words, n), lambda h, n=n: F.transform(h, lambda x, i: F.struct(i.alias("at"), (x + n).alias("hash"))))
-        parts.append(F.when(F.size(words) >= n, every).otherwise(none))
-    return F.concat(*parts)
+
+    def every(n: int) -> Column:
+        found = F.transform(_runs(words, n), lambda x, i: F.struct(i.alias("at"), (x + n).alias("hash")))
+        return F.when(F.size(words) >= n, found).otherwise(none)
+
+    return F.concat(*parts, *map(every, lengths))
 
 
 def _windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
