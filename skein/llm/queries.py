@@ -69,8 +69,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), out="s")
     base = F.filter("s", lambda x: x["kind"].isin("assign", "access", "hex"))
-    count = [F.size(F.filter("s", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *count, F.sha2(secrets.span_digest(base), 256).alias("base_sha256"), secrets.span_digest(F.col("s")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.span_digest(base), 256).alias("base_sha256"), secrets.span_digest(F.col("s")).alias("spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
