@@ -91,7 +91,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with all the columns of the model."""
     e = spark.sql(EVENTS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
     items = F.array(F.lit("wallet"), F.lit("search"), F.lit("billing"), F.lit("ops"))
-    links = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.when(i == 4, F.lit("ftp://l/")).otherwise(F.lit("https://l/")), i.cast("string")))
+    links = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.when(i == 4, F.lit("ftp://l/")).otherwise(F.lit("https://l/")), i.cast("string"), F.lit("/"), F.col("top_anchor")))
     return e.select(
         "*", F.array("source_channel").alias("source_channels"), F.array("top_anchor").alias("anchors"), F.slice(items, 1, F.col("n_areas")).alias("impact_area"), F.array(F.lit("perf")).alias("impact_type"),
         F.slice(F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma")), 1, F.col("n_qualifiers")).alias("qualifiers"), F.slice(links, 1, F.col("n_links")).alias("links"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -18,6 +19,9 @@ from skein.operators import dedup, digest, extract, objects
 from skein.operators import state as S
 from skein.plans import fixtures as V
 from skein.plans import sql as L
+from skein.plans.store import scratch
+from skein.sources import feeds
+from skein.streaming import feeds as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -500,6 +504,58 @@ def rate_limit(spark, sf_dir):
     return S.too_frequent(V.table(spark, sf_dir, "events"), "user_id", "ts", 3, 6 * 3600).select("event_id", "allowed")
 
 
+# Feeds and streams
+
+
+_TS = "CAST(epoch_us(date_trunc('second', ts_dt)) // 1000000 AS VARCHAR) || '.000000'"
+
+
+def _slack_raw(spark, sf_dir):
+    m = V.messages(spark, sf_dir).where("source_id = 'slack'")
+    ts = F.concat(F.floor(F.unix_micros("ts_dt") / 1_000_000).cast("string"), F.lit(".000000"))
+    even = F.col("event_id") % 2 == 0
+    block = F.concat(F.lit('[{"type":"section","text":{"text":"block '), F.col("event_id").cast("string"), F.lit('"}}]'))
+    return m.select(
+        "channel", ts.alias("ts"), F.when(F.col("event_id") % 10 == 1, "1.0").alias("thread_ts"), F.col("user_id").alias("user"), "bot_id", F.when(F.col("event_id") % 7 == 0, "bot_message").alias("subtype"), "text", F.when(even, block).alias("blocks"), "reply_count",
+        F.array(F.struct(F.lit("a").alias("name"), F.lit(1).alias("count")), F.struct(F.lit("").alias("name"), F.lit(9).alias("count")), F.struct(F.lit("a").alias("name"), F.col("reactions_count").alias("count"))).alias("reactions"),
+        F.when(even, F.array(F.lit("x"))).alias("attachments"), F.lit(None).cast("array<string>").alias("files"), F.struct(F.lit("5").alias("ts"), F.lit("u").alias("user")).alias("edited"),
+    )
+
+
+@query(f"WITH {L.M} SELECT sha1(channel || '|' || {_TS}) AS message_id, date_trunc('second', ts_dt) AS ts_dt, bot_id IS NOT NULL OR event_id % 7 = 0 AS is_bot, CASE WHEN event_id % 2 = 0 THEN 'block ' || event_id ELSE '' END AS blocks_text, "
+       "event_id % 2 = 0 AS has_file, reactions_count AS last_count, 1 + reactions_count AS total_reactions, CASE user_id WHEN '7' THEN 'Ann' WHEN '8' THEN 'bob' END AS name FROM m WHERE source_id = 'slack' AND event_id % 10 <> 1")
+def slack_feed(spark, sf_dir):
+    users = spark.createDataFrame([("7", "ann", None, {"display_name": "Ann"}), ("8", "bob", "", {"display_name": ""})], "user string, name string, real_name string, profile struct<real_name:string,display_name:string,email:string,image_512:string,image_192:string,image_72:string,image_48:string>")
+    m = feeds.slack_messages(feeds.roots(_slack_raw(spark, sf_dir)), NOW, users)
+    return m.select("message_id", F.col("ts_dt").cast("timestamp_ntz").alias("ts_dt"), "is_bot", "blocks_text", "has_file", F.col("reactions")["a"].alias("last_count"), "total_reactions", F.col("user_display_name").alias("name"))
+
+
+def _telegram_raw(spark, sf_dir):
+    m = V.messages(spark, sf_dir).where("source_id = 'telegram'")
+    k = F.col("event_id")
+    raw = F.when(k % 3 == 0, F.concat(F.lit('{"results":[{"reaction":{"emoticon":"x"},"count":'), F.col("reactions_count").cast("string"), F.lit('},{"emoji":"y","count":-4}]}'))).when(k % 3 == 1, F.lit('{"x": 2, "y": 1}')).otherwise("like")
+    known = {"channel": F.concat(F.lit("@"), F.col("channel")), "message_id": k.cast("string"), "date": F.col("ts_dt"), "text": F.col("text"), "reactions": raw, "reply_to_msg_id": F.when(k % 2 == 1, (k - 1).cast("string")), "mime_type": F.when(F.col("has_file"), "image/png"), "reply_count": F.col("reply_count"), "via_bot_id": F.when(k % 7 == 0, "9")}
+    return m.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in feeds.TELEGRAM_RAW])
+
+
+@query(f"WITH {L.M} SELECT sha1('@' || channel || '|' || event_id) AS message_id, 'https://t.me/' || channel || '/' || event_id AS post_url, CASE WHEN event_id % 2 = 1 THEN sha1('@' || channel || '|' || (event_id - 1)) END AS reply_to_id, "
+       "CASE event_id % 3 WHEN 0 THEN reactions_count WHEN 1 THEN 3 ELSE 1 END AS reactions_count, has_file, event_id % 7 = 0 AS is_bot FROM m WHERE source_id = 'telegram'")
+def telegram_feed(spark, sf_dir):
+    return feeds.telegram_messages(_telegram_raw(spark, sf_dir), NOW).select("message_id", "post_url", "reply_to_id", "reactions_count", "has_file", "is_bot")
+
+
+@query("SELECT event_type AS channel, date_trunc('hour', ts) AS since, count(*) AS n FROM events GROUP BY ALL")
+def stream_hourly_counts(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    m = raw.select(F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("ts_dt"), F.lit(1).alias("reactions_count"))
+    name = f"hourly_{uuid.uuid4().hex}"
+    counts = stream.channel_counts(m).select("channel", F.col("window.start").cast("timestamp_ntz").alias("since"), "n")
+    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{scratch(spark)}/{name}").start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
 # What SQL can't say
 
 

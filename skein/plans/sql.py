@@ -69,7 +69,7 @@ K = "k AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 'processing' WHEN 1 THEN 'llm
 SCORED = f"WITH {M}, {N}, {C}, {F}, {S}, {K}"
 
 E = f"""e AS (SELECT *, [source_channel] AS source_channels, [top_anchor] AS anchors, ['wallet', 'search', 'billing', 'ops'][1:n_areas] AS impact_area,
- ['alpha', 'beta', 'gamma'][1:n_qualifiers] AS qualifiers, ['https://l/1', 'https://l/2', 'https://l/3', 'ftp://l/4'][1:n_links] AS links FROM ({EVENTS}))"""
+ ['alpha', 'beta', 'gamma'][1:n_qualifiers] AS qualifiers, ['https://l/1/' || top_anchor, 'https://l/2/' || top_anchor, 'https://l/3/' || top_anchor, 'ftp://l/4/' || top_anchor][1:n_links] AS links FROM ({EVENTS}))"""
 EVENT_TIME = "coalesce(actual_start, actual_end, planned_start, planned_end)"
 SORT_TIME = "coalesce(actual_start, actual_end, planned_start, planned_end, extracted_at)"
 CLUSTER = "sha1(action || '||' || coalesce(object_id, trim(lower(object_name_raw))) || '||' || top_anchor)"
@@ -95,7 +95,7 @@ ISSUES = f"""list_filter([
  CASE WHEN status = 'started' AND actual_start IS NULL THEN 'Status ''started'' requires actual_start timestamp' END,
  CASE WHEN status = 'planned' AND planned_start IS NULL THEN 'Status ''planned'' requires planned_start timestamp' END,
  CASE WHEN n_links > 3 THEN 'Too many links: ' || n_links || ' (max 3)' END,
- CASE WHEN n_links > 3 THEN 'Invalid link format: ftp://l/4' END], lambda x: x IS NOT NULL)"""
+ CASE WHEN n_links > 3 THEN 'Invalid link format: ftp://l/4/' || top_anchor END], lambda x: x IS NOT NULL)"""
 CRITICAL = f"list_filter({ISSUES}, lambda x: NOT starts_with(x, 'WARNING:'))"
 CATEGORY_ORDER = "CASE category WHEN 'product' THEN 1 WHEN 'risk' THEN 2 WHEN 'process' THEN 3 WHEN 'marketing' THEN 4 WHEN 'org' THEN 5 WHEN 'unknown' THEN 6 ELSE 99 END"
 EMOJI = "CASE category WHEN 'product' THEN '🚀' WHEN 'risk' THEN '⚠️' WHEN 'process' THEN '⚙️' WHEN 'marketing' THEN '📢' WHEN 'org' THEN '👥' WHEN 'unknown' THEN '❓' ELSE '•' END"
