@@ -132,7 +132,7 @@ class FingerprintIndex:
         new = self.spark.read.schema(OCCURRENCE).parquet(path).groupBy("fp").agg((F.count("*") + F.max("own") - 1).alias("times"))
         again = new.where("times > 1").select("fp")
         if self.runs:
-            again = again.unionByName(new.where("times = 1").select("fp").join(self._read().select("fp"), "fp", "left_semi"))
+            again = again.unionByName(new.where("times = 1").select("fp").join(self._read().select("fp").distinct(), "fp", "left_semi"))
         self.found.append(staged(again, "repeated"))
         self.runs.append(path)
         release(self.spark)
@@ -153,17 +153,20 @@ class FingerprintIndex:
         verify the blocks that share a fingerprint but not their content, or that
         repeat it themselves.
         """
-        fps = reduce(DataFrame.unionByName, self.found).distinct()
+        # what a popular fingerprint is joined with is a written table, so that its rows can be split over tasks
+        fps = staged(reduce(DataFrame.unionByName, self.found).distinct(), "repeated")
         same = staged(self._read().join(fps, "fp"), "candidates")
         release(self.spark)
         kinds = staged(same.groupBy("fp", "bh").agg(F.count("*").alias("times"), F.max("own").alias("own"), F.min(F.struct("doc_id", "th", "lo", "n")).alias("at")), "kinds")
         several = kinds.groupBy("fp").agg((F.count("*") + F.max("own") - 1).alias("kinds")).where("kinds > 1").select("fp")
+        several = staged(several, "several")
         rest = kinds.join(several, "fp").select("fp", "bh", "at.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct("fp", "bh", "lo", "n")).alias("blocks"))
         rest = rest.withColumnsRenamed({"doc_id": "d", "th": "t"})
         texts = docs.join(rest, docs["doc_id"].eqNullSafe(rest["d"]) & (docs["th"] == rest["t"]))
         windows = staged(texts.select("text", "blocks").mapInArrow(_windows(self.window), "h1 long, h2 long, fp long, bh long, j int"), "windows")
         release(self.spark)
         twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
+        twice = staged(twice, "twice")
         masks = windows.join(twice, ["h1", "h2"]).groupBy("fp", "bh").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
         full = kinds.where("times > 1").select("fp", "bh", F.lit(-1).cast("long").alias("mask"))
         mask = staged(full.unionByName(masks).groupBy("fp", "bh").agg(F.bit_or("mask").alias("mask")), "masks")
