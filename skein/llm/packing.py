@@ -9,6 +9,7 @@ cut into sequences one after another.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -32,25 +33,35 @@ class Encoder:
 
     With ``ranks``, the same byte-level vocabulary as a list of ranks, a faster
     encoder gives the same ids; texts that hold a special token's string still
-    go through the tokenizer file, which turns it into that token.
+    go through the tokenizer file, which turns it into that token. That file is
+    loaded when it is first needed.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_padding()
-        self.exact.no_truncation()
-        self.size = self.exact.get_vocab_size()
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.fast = None
-        if ranks:
-            with open(ranks, "rb") as f:
-                pairs = [line.split() for line in f if line.strip()]
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(k): int(v) for k, v in pairs}, special_tokens={})
+        self.path, self._exact, self._fast = path, None, None
+        if ranks is None:
+            self.size, self.special = self.exact.get_vocab_size(), []
+            return
+        with open(ranks, "rb") as f:
+            pairs = {base64.b64decode(k): int(v) for k, v in (line.split() for line in f if line.strip())}
+        self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        self.special = [t["content"] for t in added]
+        self.size = max([*pairs.values(), *(t["id"] for t in added)]) + 1
+
+    @property
+    def exact(self) -> Tokenizer:
+        if self._exact is None:
+            self._exact = Tokenizer.from_file(self.path)
+            self._exact.no_padding()
+            self._exact.no_truncation()
+        return self._exact
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or any(s in text for s in self.special):
+        if self._fast is None or any(s in text for s in self.special):
             return self.exact.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        return self._fast.encode_ordinary(text)
 
 
 def encoder(path: str, ranks: str | None = None) -> Encoder:
