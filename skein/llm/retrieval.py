@@ -114,11 +114,11 @@ class Bucket:
                 break
         return left
 
-    def best(self, query: np.ndarray, own: int, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of up to k vectors that reach ``bound``, best first, ties to the smaller id."""
+    def best(self, query: np.ndarray, own: int, k: int, bound: float, upto: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of up to k vectors that reach ``bound``, with an id up to ``upto`` if they only equal it, best first, ties to the smaller id."""
         at = self.candidates(query, float(np.sqrt((query.astype(float) ** 2).sum())), bound)
         ids, scores = self.ids[at], self.products(at, query)
-        good = (scores >= bound) & (ids != own)
+        good = ((scores > bound) | ((scores == bound) & (ids <= upto))) & (ids != own)
         ids, scores = ids[good], scores[good]
         if len(ids) > 4 * k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -128,23 +128,47 @@ class Bucket:
 
 
 def _search(k: int):
-    """Pairs (queries, bucket) to the best of each query in the bucket."""
+    """Pairs (queries, bucket) to the best of each query.
+
+    Pairs of one block of queries come one after another; what its queries have
+    found so far raises their bounds for the next bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, queries, bounds, upto, found = None, None, None, None, None, []
         last, bucket = None, None
+
+        def made() -> pa.RecordBatch:
+            n = [len(f[0]) for f in found]
+            return pa.record_batch(
+                [pa.array(np.repeat(mine, n)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
+                ["query_id", "vec_id", "score"],
+            )
+
         for batch in batches:
             for r in batch.to_pylist():
                 dims = r["dims"]
+                if r["q_block"] != now:
+                    if found:
+                        yield made()
+                    now, mine = r["q_block"], np.frombuffer(r["q_ids"], np.int64)
+                    queries = np.frombuffer(r["q_vectors"], np.int64).reshape(-1, dims)
+                    bounds = np.frombuffer(r["q_bounds"], float).copy() if r["q_bounds"] is not None else np.full(len(mine), -np.inf)
+                    upto = np.frombuffer(r["q_upto"], np.int64).copy() if r["q_upto"] is not None else np.zeros(len(mine), np.int64)
+                    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(mine)
                 if r["block"] != last:
                     last, bucket = r["block"], Bucket(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.int64).reshape(-1, dims))
-                queries, mine = np.frombuffer(r["q_vectors"], np.int64).reshape(-1, dims), np.frombuffer(r["q_ids"], np.int64)
-                bounds = np.frombuffer(r["q_bounds"], float) if r["q_bounds"] is not None else np.full(len(mine), -np.inf)
-                got = [bucket.best(q, i, k, b) for q, i, b in zip(queries, mine.tolist(), bounds.tolist())]
-                n = [len(g[0]) for g in got]
-                yield pa.record_batch(
-                    [pa.array(np.repeat(mine, n)), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]).astype(np.int64))],
-                    ["query_id", "vec_id", "score"],
-                )
+                for i, own in enumerate(mine.tolist()):
+                    ids, scores = bucket.best(queries[i], own, k, bounds[i], int(upto[i]))
+                    if not len(ids):
+                        continue
+                    ids, scores = np.concatenate([found[i][0], ids]), np.concatenate([found[i][1], scores])
+                    order = np.lexsort((ids, -scores))[:k]
+                    found[i] = ids[order], scores[order]
+                    if len(order) == k:
+                        bounds[i], upto[i] = found[i][1][-1], found[i][0][-1]
+        if found:
+            yield made()
 
     return run
 
@@ -163,8 +187,8 @@ def top_k(
     ``vectors`` are not read.
 
     Buckets and blocks of queries meet in a grid: a pair is one row that holds
-    at most ``bucket`` vectors and ``block`` queries. The pass over the longest
-    bucket gives each query its bound, and pairs that can't reach it are left
+    at most ``bucket`` vectors and ``block`` queries. A pass over the longest
+    vectors gives each query its bound, and pairs that can't reach it are left
     out before they are made.
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
@@ -177,37 +201,48 @@ def top_k(
     asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").withColumn("norm", norm)
     asked = asked.repartitionByRange(F.col("norm").desc(), F.col("id")).sortWithinPartitions(F.col("norm").desc(), "id")
     queries = staged(asked.select("id", "v").mapInArrow(_blocks(block, dims), BLOCK), "queries").selectExpr("block as q_block", "longest as q_longest", "ids as q_ids", "vectors as q_vectors")
-    first = buckets.agg(F.min("block")).first()[0]
+    # the longest vectors, a bucket's worth of them, give each query its bound
+    longest = buckets.select("block", "rows").orderBy("block").limit(bucket).collect()  # numbers of at most a bucket's rows
     none = "query_id long, vec_id long, score long"
-    if first is None:
+    if not longest:
         return clean.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    head = queries.join(F.broadcast(buckets.where(F.col("block") == first)), F.lit(True)).withColumn("q_bounds", F.lit(None).cast("binary"))  # one bucket
-    start = staged(head.mapInArrow(_search(k), none), "first")
-    bounds = start.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "low")
+    held = np.cumsum([r.rows for r in longest])
+    last = longest[min(int(np.searchsorted(held, bucket)), len(held) - 1)].block
+    lead = buckets.where(F.col("block") <= last)  # fewer than two buckets' rows
+    head = queries.join(F.broadcast(lead), F.lit(True)).withColumn("q_bounds", F.lit(None).cast("binary")).withColumn("q_upto", F.lit(None).cast("binary"))
+    start = staged(_ranked(head.mapInArrow(_search(k), none), k), "first")
+    kth = F.max(F.struct("rank", "score", "vec_id"))
+    bounds = start.groupBy("query_id").agg(kth.alias("x")).where(F.col("x.rank") == k).select("query_id", F.col("x.score").alias("low"), F.col("x.vec_id").alias("upto"))
     queries = staged(_bounded(queries, bounds), "bounded")
     # the grid: each block of queries goes to every lane, each bucket lies in one
     lanes = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
     spread = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    met = buckets.where(F.col("block") != first).withColumn("lane", lane).join(spread, "lane").where(F.col("longest") * F.col("q_longest") * (1 + 1e-9) >= F.col("q_least"))
+    # queries are the streamed side, so that the pairs of a block of them come together
+    met = spread.join(buckets.where(F.col("block") > last).withColumn("lane", lane), "lane").where(F.col("longest") * F.col("q_longest") * (1 + 1e-9) >= F.col("q_least"))
     rest = met.mapInArrow(_search(k), none)
+    return _ranked(start.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their rank."""
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    every = start.unionByName(rest).withColumn("rank", F.row_number().over(best))
-    return every.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _bounded(queries: DataFrame, bounds: DataFrame) -> DataFrame:
     """Blocks of queries with each query's bound, and the least of them over the longest query."""
     ids = queries.select("q_block", F.posexplode(_longs("q_ids")).alias("at", "query_id"))
-    low = ids.join(bounds, "query_id", "left").select("q_block", F.struct("at", F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))).alias("low")).alias("x"))
-    packed = low.groupBy("q_block").agg(F.array_sort(F.collect_list("x")).alias("x")).select("q_block", F.col("x.low").alias("lows"))
+    low = F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))).alias("low")
+    each = ids.join(bounds, "query_id", "left").select("q_block", F.struct("at", low, F.coalesce("upto", F.lit(0).cast("long")).alias("upto")).alias("x"))
+    packed = each.groupBy("q_block").agg(F.array_sort(F.collect_list("x")).alias("x")).select("q_block", F.col("x.low").alias("lows"), F.col("x.upto").alias("uptos"))
     out = queries.join(packed, "q_block")
-    return out.select("q_block", "q_longest", "q_ids", "q_vectors", _doubles("lows").alias("q_bounds"), F.array_min("lows").alias("q_least"))
+    return out.select("q_block", "q_longest", "q_ids", "q_vectors", _packed("lows", float).alias("q_bounds"), _packed("uptos", np.int64).alias("q_upto"), F.array_min("lows").alias("q_least"))
 
 
 def _longs(column: str) -> Column:
     return F.arrow_udf(lambda a: pa.array([np.frombuffer(x, np.int64).tolist() for x in a.to_pylist()], pa.list_(pa.int64())), "array<long>")(F.col(column))
 
 
-def _doubles(column: str) -> Column:
-    return F.arrow_udf(lambda a: pa.array([np.array(x, float).tobytes() for x in a.to_pylist()], pa.binary()), "binary")(F.col(column))
+def _packed(column: str, kind: type) -> Column:
+    return F.arrow_udf(lambda a: pa.array([np.array(x, kind).tobytes() for x in a.to_pylist()], pa.binary()), "binary")(F.col(column))
