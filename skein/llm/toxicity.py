@@ -11,6 +11,7 @@ text and mapped to 0..1 by a logistic curve.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ EXCEPTIONS = ("pathetic fallacy", "class clown", "clown fish", "clown car", "tra
 
 _FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
 _WORD = regex.compile(r"\p{L}+")
-STEMS = (4, 5, 6)
+STEMS = tuple(range(3, 11))
 
 
 def fold(text: str) -> str:
@@ -56,7 +57,7 @@ class Lexicon:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: tuple[float, float, float] = (-4.0, 1.0, 1.0)
+    curve: tuple[float, float, float, float] = (-4.0, 1.0, 1.0, 0.0)
     _auto: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -73,65 +74,82 @@ class Lexicon:
             self._auto = auto
         return self._auto
 
-    def measure(self, text: str | None) -> tuple[float, int]:
-        """(sum of the weights found, number of words)."""
+    def measure(self, text: str | None) -> tuple[float, float, int]:
+        """(sum of the weights of the entries found, the largest of them, number of words); an entry found again adds a tenth."""
         if not text:
-            return 0.0, 0
+            return 0.0, 0.0, 0
         t = fold(text)
         n = len(t.split())
         auto = self._automaton()
         if not len(auto):
-            return 0.0, n
+            return 0.0, 0.0, n
         found, exempt = [], []
         for end, (size, w, stem) in auto.iter(t):
             start, stop = end - size + 1, end + 1
             if (start and t[start - 1].isalpha()) or (not stem and stop < len(t) and t[stop].isalpha()):
                 continue
             (exempt if w is None else found).append((start, stop, w))
-        total, at = 0.0, -1
-        for start, stop, w in sorted(found, key=lambda x: (x[0], -x[1])):
+        total, most, at, seen = 0.0, 0.0, -1, set()
+        for start, stop, w in sorted(found, key=lambda x: (x[0], -x[2])):
             if start >= at and not any(a <= start and stop <= b for a, b, _ in exempt):
-                total, at = total + w, stop
-        return total, n
+                total, most, at = total + (w if t[start:stop] not in seen else w / 10), max(most, w), stop
+                seen.add(t[start:stop])
+        return total, most, n
 
-    def inputs(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Constant, weight by itself and weight a hundred words, both damped."""
-        return np.stack([np.ones_like(total), np.log1p(total), np.log1p(100 * total / np.maximum(n, 20))], axis=1)
+    def inputs(self, total: np.ndarray, most: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Constant, weight by itself and weight a hundred words (both damped), and the largest weight."""
+        return np.stack([np.ones_like(total), np.log1p(total), np.log1p(100 * total / np.maximum(n, 20)), most], axis=1)
 
-    def score(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.inputs(total, n) @ np.array(self.curve), -30, 30)))
+    def score(self, total: np.ndarray, most: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.inputs(total, most, n) @ np.array(self.curve), -30, 30)))
 
-    def fit_curve(self, total: np.ndarray, n: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> None:
+    def fit_curve(self, total: np.ndarray, most: np.ndarray, n: np.ndarray, toxic: np.ndarray, ridge: float = 0.1) -> None:
         """Logistic regression by Newton steps."""
-        x, w = self.inputs(total, n), np.zeros(3)
+        x = self.inputs(total, most, n)
+        w = np.zeros(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3), x.T @ (toxic - p) - ridge * w)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), x.T @ (toxic - p) - ridge * w)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
         self.curve = tuple(float(v) for v in w)
 
 
-def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, least: float = 3.0) -> dict[str, float]:
+def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, least: float = 1.5) -> dict[str, float]:
     """Entries and weights from (entry, toxic documents, clean documents) counts.
 
     A weight is the logarithm of how much likelier the entry is in a toxic
     document. An entry that a chosen shorter stem covers is left out, unless
-    it weighs more by one.
+    it weighs more by a half.
     """
-    weigh = {e: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for e, t, c in rows}
+    # few toxic documents are weak evidence, so their number counts less its spread
+    sure = lambda n: max(0.0, n - 1.5 * math.sqrt(n))
+    weigh = {e: math.log((sure(t) + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for e, t, c in rows}
+    count = {e: t for e, t, _ in rows}
+    names = sorted(count)
     out: dict[str, float] = {}
+
+    def narrow(e: str) -> str:
+        """The longest entry that a stem's toxic documents share, nearly all of them: it does the stem's work and touches less else."""
+        word, best = e.rstrip("*"), e
+        for i in range(bisect_left(names, word), len(names)):
+            if not names[i].startswith(word):
+                break
+            if count[names[i]] >= 0.97 * count[e] and len(names[i].rstrip("*")) > len(best.rstrip("*")):
+                best = names[i]
+        return best
+
     for e in sorted((e for e, w in weigh.items() if w >= least), key=lambda e: (len(e.rstrip("*")), e)):
         word = e.rstrip("*")
         covers = [out[s] for n in STEMS if n <= len(word) and (s := word[:n] + "*") in out and s != e]
-        if not covers or weigh[e] > max(covers) + 1:
+        if not covers or weigh[e] > max(covers) + 0.5:
             out[e] = weigh[e]
-    return out
+    return {n: weigh[n] for n in map(narrow, out)}
 
 
 def fit_lexicon(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, support: int = 4, least: float = 3.0, max_entries: int = 20_000
+    docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, support: int = 4, least: float = 1.5, max_entries: int = 20_000
 ) -> Lexicon:
     """A lexicon from labelled documents.
 
@@ -167,9 +185,9 @@ def fit_lexicon(
     if not all(totals):
         totals = next(((r.t, r.c) for r in counts.where("entry = ''").collect()), (0, 0))
     lexicon = Lexicon(choose([(r.entry, r.t, r.c) for r in got if r.entry], *totals, least) if all(totals) else {})
-    held = rows.where("held").select("text", "toxic").mapInArrow(_measured(lexicon), "total double, n long, toxic long").toPandas()
+    held = rows.where("held").select("text", "toxic").mapInArrow(_measured(lexicon), "total double, most double, n long, toxic long").toPandas()
     if held["toxic"].nunique() > 1:
-        lexicon.fit_curve(held["total"].to_numpy(), held["n"].to_numpy(), (held["toxic"] == 1).to_numpy().astype(float))
+        lexicon.fit_curve(held["total"].to_numpy(), held["most"].to_numpy(), held["n"].to_numpy(), (held["toxic"] == 1).to_numpy().astype(float))
     return lexicon
 
 
@@ -177,7 +195,8 @@ def _measured(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [lexicon.measure(t) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.int64()), b.column(1).cast(pa.int64())], ["total", "n", "toxic"])
+            cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.record_batch([*cols, b.column(1).cast(pa.int64())], ["total", "most", "n", "toxic"])
 
     return run
 
@@ -192,7 +211,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", ou
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        got = np.array([lexicon.measure(t) for t in texts.to_pylist()], float).reshape(-1, 2)
-        return pa.array(lexicon.score(got[:, 0], got[:, 1]))
+        got = np.array([lexicon.measure(t) for t in texts.to_pylist()], float).reshape(-1, 3)
+        return pa.array(lexicon.score(got[:, 0], got[:, 1], got[:, 2]))
 
     return docs.withColumn(out, score(F.col(text_col)))
