@@ -140,16 +140,12 @@ def _width(vocabulary: int) -> str:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tail_sizes(rest: int, size: int, least: int) -> list[int]:
-    """How a partition's last tokens are cut: powers of two down to ``least``, then what is left."""
-    out = []
-    while rest >= least:
-        out.append(min(size, 1 << (rest.bit_length() - 1)))
-        rest -= out[-1]
-    return out + [rest] * (rest > 0)
+def tail_sizes(rest: int) -> list[int]:
+    """How a partition's last tokens are cut: the powers of two that add up to them, the largest first."""
+    return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def _pack(path: str, ranks: str | None, size: int, least: int, with_ids: bool):
+def _pack(path: str, ranks: str | None, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, width = TaskContext.get().partitionId() << 40, _width(encoder(path, ranks).size)
         held: list[tuple[int | None, int, np.ndarray, int]] = []
@@ -188,7 +184,7 @@ def _pack(path: str, ranks: str | None, size: int, least: int, with_ids: bool):
                     flush(size)
                 if len(out) >= 8192:
                     yield made()
-        for length in tail_sizes(have, size, least):
+        for length in tail_sizes(have):
             flush(length)
         yield made()
 
@@ -197,16 +193,15 @@ def _pack(path: str, ranks: str | None, size: int, least: int, with_ids: bool):
 
 def pack(
     docs: DataFrame, size: int = 1024, path: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 0, dims: int = 4, bits: int = 10, least: int = 16, with_ids: bool = False,
+    end_id: int = 0, dims: int = 4, bits: int = 10, with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``size`` tokens.
 
     A document is its whole text's ids and then ``end_id``; a null text counts
     as empty, so it is that one id. Documents follow each other along the
     curve; a sequence is filled to ``size`` and cuts a document where it must.
-    Only the last tokens of a range-sorted partition are cut to powers of two
-    (which need no padding), so at most ``least`` - 1 tokens a partition are
-    padded. Repeated rows and equal keys are separate documents, a null id
+    Only the last tokens of a range-sorted partition are cut to powers of two,
+    which need no padding either. Repeated rows and equal keys are separate documents, a null id
     stays null. Returns doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset, and with ``with_ids`` the ids as bytes.
     """
@@ -215,4 +210,4 @@ def pack(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     tokens = staged(rows.mapInArrow(_tokenize(path, ranks, end_id, dims, bits), "doc_id long, hkey long, ids binary"), "tokens")
     along = tokens.repartitionByRange("hkey", "doc_id").sortWithinPartitions("hkey", "doc_id").select("doc_id", "ids")
-    return along.mapInArrow(_pack(path, ranks, size, least, with_ids), PIECE + (", ids binary" if with_ids else ""))
+    return along.mapInArrow(_pack(path, ranks, size, with_ids), PIECE + (", ids binary" if with_ids else ""))
