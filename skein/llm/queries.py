@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, html_text, language_model, packing, retrieval, secrets, simhash, substrings, toxicity, url_filter, url_lists
+from skein.llm import decontaminate, html_text, language_model, packing, retrieval, secrets, simhash, sql, substrings, toxicity, url_filter, url_lists
 from skein.llm._store import table
 
 #: A document scores as toxic from here on.
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": url_lists.SQL}
+    return {"op2_top_k": sql.TOP_K, "op4_decontamination": sql.DECONTAMINATION, "op5_substrings": sql.SUBSTRINGS, "op7_url_filters": url_lists.SQL}
