@@ -98,7 +98,8 @@ def components(events: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = staged(_tokens(events), "tokens")
     now = staged(events.select("event_id", F.col("event_id").alias("component")), "labels")
     for _ in range(max_rounds):
-        low = edges.join(now, "event_id").groupBy("token").agg(F.min("component").alias("low"))
+        # written, so that the events of a popular token can be split over tasks
+        low = staged(edges.join(now, "event_id").groupBy("token").agg(F.min("component").alias("low")), "low")
         nearest = edges.join(low, "token").groupBy("event_id").agg(F.min("low").alias("low"))
         moved = now.join(nearest, "event_id", "left").select("event_id", F.least("component", F.coalesce("low", "component")).alias("component"))
         # a component that itself has a smaller one is skipped over
