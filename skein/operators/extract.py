@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -124,3 +125,27 @@ def keyword_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             reply = json.dumps({"is_event": bool(kind), "overflow_note": None, "events": [event] if kind else []})
             rows.append((key, reply, len(prompt) // 4, len(reply) // 4))
         yield pd.DataFrame(rows, columns=["prompt_hash", "response_json", "tokens_in", "tokens_out"])
+
+
+#: Seconds before the first, second and third repetition of a call, by what went wrong.
+RETRIES = {"rate": (10, 20, 30), "timeout": (5, 10, 15), "validation": (2, 4, 6)}
+
+
+class CallFailed(Exception):
+    """A call to the extractor's service failed; ``kind`` is a key of RETRIES or something that isn't repeated."""
+
+    def __init__(self, kind: str, message: str = ""):
+        super().__init__(message or kind)
+        self.kind = kind
+
+
+def retrying(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep) -> str:
+    """``call``, repeated up to three times after failures of a known kind."""
+    for i in range(4):
+        try:
+            return call()
+        except CallFailed as e:
+            if i == 3 or e.kind not in RETRIES:
+                raise
+            sleep(RETRIES[e.kind][i])
+    raise AssertionError

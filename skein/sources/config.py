@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 from typing import Any
 
@@ -81,3 +82,11 @@ def channel_table(spark: SparkSession, by_source: dict[str, list[Any]]) -> DataF
     fields = ", ".join(f"{k} double" for k in WEIGHTS)
     schema = f"ord int, source_id string, channel string, channel_name string, enabled boolean, {fields}, whitelist_keywords array<string>, trusted_bots array<string>"
     return spark.createDataFrame([{"ord": i} | r for i, r in enumerate(rows)], schema).where(F.col("enabled")).drop("enabled")
+
+
+def load_prompt(path: str | Path) -> tuple[str, str]:
+    """(text, SHA-256) of a prompt file; an empty one is an error."""
+    text = Path(path).read_text(encoding="utf-8")
+    if not text.strip():
+        raise ValueError(f"{path} is empty")
+    return text, hashlib.sha256(text.encode()).hexdigest()
