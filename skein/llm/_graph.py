@@ -13,7 +13,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), F.least("a", "low").alias("m"))
+    # written, so that the edges of a node with very many can be split over tasks
+    low = staged(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("k"), F.least("a", "low").alias("m")), "low")
     joined = both.join(low, F.col("a") == F.col("k"))
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

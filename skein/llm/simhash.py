@@ -205,7 +205,8 @@ def near_edges(fps: DataFrame, radius: int = 2, part: int = 512) -> DataFrame:
     keyed = fps.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in masks])).alias("key")
     ).select("key.t", "key.k", "fp")
-    met = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # small sides are written, so that a popular key's rows can be split over tasks
+    met = staged(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "met")
     rows = keyed.join(met, ["t", "k"]).withColumn("s", F.ceil(F.col("n") / part).cast("int"))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
     pairs = F.transform(
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(d.groupBy("fp").agg(F.min("id").alias("low")), "classes")
     roots = components(near_edges(classes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    lows = staged(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
     member = staged(rooted.join(lows, "root").select(F.col("fp").alias("f"), "component_id"), "members")
     return d.join(member, d.fp == member.f).select(F.col("id").alias(id_col), "fp", "component_id")
 
