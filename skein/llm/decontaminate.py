@@ -39,32 +39,16 @@ def _runs(words: Column, n: int) -> Column:
     return _let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n))))
 
 
-def _winnowed(hashes: Column, span: int) -> Column:
-    """(at, hash) of the smallest hash of every ``span`` consecutive ones, each position once.
-
-    Ties go to the rightmost. The positions of the minima never go back, so a
-    position equal to the one before is dropped.
-    """
-
-    def least(h: Column) -> Column:
-        ends = F.sequence(F.lit(span), F.size(h))
-
-        def at(i: Column) -> Column:
-            part = F.slice(h, i - (span - 1), span)
-            return _let(part, lambda p: (i - F.array_position(F.reverse(p), F.array_min(p)) + 1).cast("int"))
-
-        return F.transform(F.array_distinct(F.transform(ends, at)), lambda p: F.struct((p - 1).alias("at"), F.element_at(h, p).alias("hash")))
-
-    return _let(hashes, least)
-
-
-def _fingerprints(words: Column, window: int, gram: int, lengths: list[int]) -> Column:
-    """Winnowed fingerprints, and all runs of the lengths of short items; none from too few words."""
-    none = F.expr("CAST(array() AS array<struct<at:int,hash:bigint>>)")
-    parts = [F.when(F.size(words) >= window, _winnowed(_runs(words, gram), window - gram + 1)).otherwise(none)]
+def _fingerprints(words: Column, runs: Column, window: int, gram: int, lengths: list[int]) -> Column:
+    """(hash, n): the smallest of each ``window`` - ``gram`` + 1 consecutive ``runs``, with n = ``gram``, and all runs
+    of the lengths n of short items; each hash once, none from too few words."""
+    none = F.expr("CAST(array() AS array<struct<hash:bigint,n:int>>)")
+    span = window - gram + 1
+    least = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(runs) - span + 1), lambda i: F.array_min(F.slice(runs, i, span))))
+    parts = [F.when(F.size(words) >= window, F.transform(least, lambda x: F.struct(x.alias("hash"), F.lit(gram).alias("n")))).otherwise(none)]
 
     def every(n: int) -> Column:
-        found = F.transform(_runs(words, n), lambda x, i: F.struct(i.alias("at"), (x + n).alias("hash")))
+        found = F.transform(F.array_distinct(_runs(words, n)), lambda x: F.struct((x + n).alias("hash"), F.lit(n).alias("n")))
         return F.when(F.size(words) >= n, found).otherwise(none)
 
     return F.concat(*parts, *map(every, lengths))
@@ -113,15 +97,16 @@ def contamination(
     lengths = [r.n for r in index.select(F.explode("windows.n").alias("n")).where(F.col("n") < window).distinct().collect()]  # fewer than window
     blocks = max(1, -(-index.count() // broadcast_rows))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *[F.col(c) for c in carry], words_of(F.col(text_col)).alias("w"))
-    nothing = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("hash"))
+    base = base.withColumn("h", F.when(F.size("w") >= window, _runs(F.col("w"), gram)))
+    nothing = F.struct(F.lit(None).cast("long").alias("hash"), F.lit(0).alias("n"))
     hits = []
     for k in range(blocks):
-        # a row of each document without a hash keeps documents without a match, once
-        prints = _fingerprints(F.col("w"), window, gram, sorted(lengths))
-        rows = base.select("row", "id", *carry, "w", F.explode(F.concat(prints, F.array(nothing)) if k == 0 else prints).alias("f"))
+        # an entry of each document without a hash keeps documents without a match, once
+        prints = _fingerprints(F.col("w"), F.col("h"), window, gram, sorted(lengths))
+        rows = base.select("row", "id", *carry, "w", "h", F.explode(F.concat(prints, F.array(nothing)) if k == 0 else prints).alias("f"))
         part = index.where(F.pmod("hash", F.lit(blocks)) == k) if blocks > 1 else index
-        met = rows.join(F.broadcast(part), F.col("f.hash") == F.col("hash"), "left").where("windows is not null or f.at < 0")
-        found = met.select("row", "id", *carry, F.size("w").alias("n_words"), F.when(F.col("f.at") >= 0, _extended(window, gram)).alias("found"), (F.col("f.at") < 0).alias("first"))
+        met = rows.join(F.broadcast(part), F.col("f.hash") == F.col("hash"), "left").where("windows is not null or f.n = 0")
+        found = met.select("row", "id", *carry, F.size("w").alias("n_words"), F.when(F.col("f.n") > 0, _extended(window, gram)).alias("found"), (F.col("f.n") == 0).alias("first"))
         hits.append(found)
     every = reduce(DataFrame.unionByName, hits)
     spans = every.select("row", "id", *carry, "n_words", "first", F.explode_outer("found").alias("s"))
@@ -143,19 +128,29 @@ def contamination(
 
 
 def _extended(window: int, gram: int) -> Column:
-    """The windows of a row's words around f.at that equal one of ``windows``: (at, n, items)."""
-    size, at = F.size("w"), F.col("f.at")
-    # a window of the full length holds the run anywhere in it, a short one is the run
-    around = F.sequence(F.greatest(F.lit(0), at - (window - gram)), F.least(at, size - window))
-    near = F.when(
-        F.least(at, size - window) >= F.greatest(F.lit(0), at - (window - gram)),
-        F.transform(around, lambda s: F.struct(s.alias("at"), F.lit(window).alias("n"), F.array_join(F.slice("w", s + 1, window), " ").alias("text"))),
-    ).otherwise(F.expr("CAST(array() AS array<struct<at:int,n:int,text:string>>)"))
-    short = F.transform(
-        F.array_distinct(F.transform(F.filter("windows", lambda x: x["n"] < window), lambda x: x["n"])),
-        lambda n: F.struct(at.alias("at"), n.alias("n"), F.array_join(F.slice("w", at + 1, n), " ").alias("text")),
+    """The windows of a row's words around its runs of f.hash that equal one of ``windows``: (at, n, items)."""
+    last = F.size("w") - window
+    where = F.filter(F.transform("h", lambda x, i: F.when(x == F.col("f.hash"), i)), lambda i: i.isNotNull())
+    # a window of the full length holds the run anywhere in it
+    around = F.array_distinct(
+        F.flatten(
+            F.transform(where, lambda at: F.sequence(F.greatest(F.lit(0), at - (window - gram)), F.least(at, last)))
+        )
+    )
+    long = F.transform(around, lambda s: F.struct(s.alias("at"), F.lit(window).alias("n"), F.array_join(F.slice("w", s + 1, window), " ").alias("text")))
+    # a short one is the run itself
+    n = F.col("f.n")
+    starts = F.sequence(F.lit(0), F.size("w") - n)
+    short = F.filter(
+        F.transform(starts, lambda s: F.struct(s.alias("at"), n.alias("n"), F.array_join(F.slice("w", s + 1, n), " ").alias("text"))),
+        lambda s: F.exists("windows", lambda x: (x["text"] == s["text"]) & (x["n"] == s["n"])),
+    )
+    none = F.expr("CAST(array() AS array<struct<at:int,n:int,text:string>>)")
+    # a run of the grams' length can also be an item of that length
+    both = F.concat(
+        F.when((n == gram) & F.col("h").isNotNull(), long).otherwise(none),
+        F.when(F.exists("windows", lambda x: x["n"] == n) & (n < window), short).otherwise(none),
     )
-    both = F.concat(near, short)
     tagged = F.transform(both, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), F.filter("windows", lambda x: (x["text"] == s["text"]) & (x["n"] == s["n"])).alias("same")))
     equal = F.filter(tagged, lambda s: F.size(s["same"]) > 0)
     return F.transform(equal, lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"), s["same"][0]["items"].alias("items")))
