@@ -5,15 +5,15 @@ classes of equal size; all others fall into classes by their shape. The network
 (a GRU) gives the probability of the next word's class and, for a frequent
 word, of the word in its class; a rare word has its share of its class's
 counts, where one unknown word of each shape is counted as half a word.
-Weights are learnt by truncated backpropagation on a fixed share of the
-training texts, by trainers whose number grows with it, and averaged.
+Weights are learnt by truncated backpropagation on every training text, by
+trainers whose number grows with the texts, and averaged.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -176,73 +176,128 @@ def log_probabilities(net: Network, inputs: list[np.ndarray], group: int = 1024,
     return out
 
 
+class Trainer:
+    """A network and Adam's moments, which windows of parallel streams change step by step."""
+
+    def __init__(self, net: Network, end: int, rate: float = 0.01):
+        self.net, self.end, self.rate = net, end, rate
+        self.first, self.second, self.count = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
+
+    def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after a window (streams x steps of inputs) that began in state ``h``."""
+        net, end, streams = self.net, self.end, len(ids)
+        k, top = net.state, net.classes * net.size
+        grad = Network(net.classes, net.size, net.width, net.state)
+        kept, states = [], []
+        table = net.table() if ids.size > top else None
+        for t in range(ids.shape[1]):
+            x = ids[:, t]
+            states.append(h)
+            gates = table[x] if table is not None else net.embed[x] @ net.wx + net.bx
+            new, z, r, n, g2 = net.step(gates, h)
+            kept.append((h, z, r, n, g2))
+            h = np.where((x == end)[:, None], np.float32(0), new)
+        s, flat = np.concatenate(states), ids.T.ravel()
+        frequent = flat < top
+        label = np.where(frequent, flat // net.size, net.classes + flat - top)
+        scale = np.float32(1 / len(flat))
+        d = net.class_logits(s)
+        d = np.exp(d - d.max(axis=1, keepdims=True))
+        d /= d.sum(axis=1, keepdims=True)
+        d[np.arange(len(flat)), label] -= 1
+        d *= scale
+        grad.wc[:], grad.bc[:] = s.T @ d, d.sum(axis=0)
+        ds = d @ net.wc.T
+        for c in np.unique(label[frequent]):
+            rows = np.flatnonzero(label == c)
+            e = s[rows] @ net.ww[c] + net.bw[c]
+            e = np.exp(e - e.max(axis=1, keepdims=True))
+            e /= e.sum(axis=1, keepdims=True)
+            e[np.arange(len(rows)), flat[rows] - c * net.size] -= 1
+            e *= scale
+            grad.ww[c], grad.bw[c] = s[rows].T @ e, e.sum(axis=0)
+            ds[rows] += e @ net.ww[c].T
+        ds = ds.reshape(ids.shape[1], streams, k)
+        dh = np.zeros((streams, k), np.float32)
+        for t in range(ids.shape[1] - 1, -1, -1):
+            before, z, r, n, g2 = kept[t]
+            x = ids[:, t]
+            dh = np.where((x == end)[:, None], np.float32(0), dh)
+            dn = (1 - z) * dh * (1 - n * n)
+            da = np.concatenate([(before - n) * dh * z * (1 - z), dn * g2 * r * (1 - r), dn], axis=1)
+            dg = np.concatenate([da[:, : 2 * k], dn * r], axis=1)
+            grad.wh += before.T @ dg
+            e = net.embed[x]
+            grad.wx += e.T @ da
+            grad.bx += da.sum(axis=0)
+            np.add.at(grad.embed, x, da @ net.wx.T)
+            dh = z * dh + dg @ net.wh.T + ds[t]
+        norm = float(np.sqrt((grad.flat**2).sum()))
+        if norm > 1:
+            grad.flat /= norm
+        self.count += 1
+        self.first += 0.1 * (grad.flat - self.first)
+        self.second += 0.001 * (grad.flat**2 - self.second)
+        net.flat -= self.rate * (self.first / (1 - 0.9**self.count)) / (np.sqrt(self.second / (1 - 0.999**self.count)) + 1e-8)
+        return h
+
+    def sequence(self, tokens: np.ndarray, streams: int, window: int) -> None:
+        """Steps over a sequence that is cut into ``streams`` at most, the last few tokens included."""
+        streams = max(1, min(streams, len(tokens) // window))
+        length = len(tokens) // streams
+        grid = tokens[: streams * length].reshape(streams, length)
+        h = np.zeros((streams, self.net.state), np.float32)
+        for at in range(0, length, window):
+            h = self.step(grid[:, at : at + window], h)
+        if len(tokens) > streams * length:
+            self.step(tokens[streams * length :, None], np.zeros((len(tokens) - streams * length, self.net.state), np.float32))
+
+
 def train(net: Network, tokens: np.ndarray, end: int, streams: int = 32, window: int = 16, rate: float = 0.01, passes: int = 1) -> None:
     """Truncated backpropagation through time over a sequence of inputs, with Adam's steps.
 
     The sequence is cut into parallel streams. The state passes from window to
     window and starts anew after ``end``; gradients stop at a window's start.
     """
-    streams = max(1, min(streams, len(tokens) // window))
-    length = len(tokens) // streams
-    grid = tokens[: streams * length].reshape(streams, length)
-    first, second, count = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
-    k, top = net.state, net.classes * net.size
+    trainer = Trainer(net, end, rate)
     for _ in range(passes):
-        h = np.zeros((streams, k), np.float32)
-        for at in range(0, length, window):
-            ids = grid[:, at : at + window]
-            grad = Network(net.classes, net.size, net.width, net.state)
-            kept, states = [], []
-            table = net.table() if streams * window > top else None
-            for t in range(ids.shape[1]):
-                x = ids[:, t]
-                states.append(h)
-                gates = table[x] if table is not None else net.embed[x] @ net.wx + net.bx
-                new, z, r, n, g2 = net.step(gates, h)
-                kept.append((h, z, r, n, g2))
-                h = np.where((x == end)[:, None], np.float32(0), new)
-            s, flat = np.concatenate(states), ids.T.ravel()
-            frequent = flat < top
-            label = np.where(frequent, flat // net.size, net.classes + flat - top)
-            scale = np.float32(1 / len(flat))
-            d = net.class_logits(s)
-            d = np.exp(d - d.max(axis=1, keepdims=True))
-            d /= d.sum(axis=1, keepdims=True)
-            d[np.arange(len(flat)), label] -= 1
-            d *= scale
-            grad.wc[:], grad.bc[:] = s.T @ d, d.sum(axis=0)
-            ds = d @ net.wc.T
-            for c in np.unique(label[frequent]):
-                rows = np.flatnonzero(label == c)
-                e = s[rows] @ net.ww[c] + net.bw[c]
-                e = np.exp(e - e.max(axis=1, keepdims=True))
-                e /= e.sum(axis=1, keepdims=True)
-                e[np.arange(len(rows)), flat[rows] - c * net.size] -= 1
-                e *= scale
-                grad.ww[c], grad.bw[c] = s[rows].T @ e, e.sum(axis=0)
-                ds[rows] += e @ net.ww[c].T
-            ds = ds.reshape(ids.shape[1], streams, k)
-            dh = np.zeros((streams, k), np.float32)
-            for t in range(ids.shape[1] - 1, -1, -1):
-                before, z, r, n, g2 = kept[t]
-                x = ids[:, t]
-                dh = np.where((x == end)[:, None], np.float32(0), dh)
-                dn = (1 - z) * dh * (1 - n * n)
-                da = np.concatenate([(before - n) * dh * z * (1 - z), dn * g2 * r * (1 - r), dn], axis=1)
-                dg = np.concatenate([da[:, : 2 * k], dn * r], axis=1)
-                grad.wh += before.T @ dg
-                e = net.embed[x]
-                grad.wx += e.T @ da
-                grad.bx += da.sum(axis=0)
-                np.add.at(grad.embed, x, da @ net.wx.T)
-                dh = z * dh + dg @ net.wh.T + ds[t]
-            norm = float(np.sqrt((grad.flat**2).sum()))
-            if norm > 1:
-                grad.flat /= norm
-            count += 1
-            first += 0.1 * (grad.flat - first)
-            second += 0.001 * (grad.flat**2 - second)
-            net.flat -= rate * (first / (1 - 0.9**count)) / (np.sqrt(second / (1 - 0.999**count)) + 1e-8)
+        trainer.sequence(tokens, streams, window)
+
+
+def train_stream(net: Network, texts: Iterator[np.ndarray], end: int, streams: int = 32, window: int = 16, rate: float = 0.01) -> int:
+    """``train`` in one pass over texts as they come; the number of tokens, all of which are learnt from.
+
+    Each text goes whole to the stream with the fewest tokens waiting, so what
+    is held doesn't grow with the number of texts. What waits at the end, less
+    than a window in some stream, is cut into streams anew.
+    """
+    trainer, total = Trainer(net, end, rate), 0
+    waiting: list[deque[np.ndarray]] = [deque() for _ in range(streams)]
+    sizes = [0] * streams
+    h = np.zeros((streams, net.state), np.float32)
+
+    def take(q: deque[np.ndarray]) -> np.ndarray:
+        out, n = [], 0
+        while n < window:
+            x = q.popleft()
+            out.append(x[: window - n])
+            if len(x) > window - n:
+                q.appendleft(x[window - n :])
+            n += len(out[-1])
+        return np.concatenate(out)
+
+    for x in texts:
+        i = sizes.index(min(sizes))
+        waiting[i].append(x)
+        sizes[i] += len(x)
+        total += len(x)
+        while min(sizes) >= window:
+            h = trainer.step(np.stack([take(q) for q in waiting]), h)
+            sizes = [n - window for n in sizes]
+    rest = [x for q in waiting for x in q]
+    if rest:
+        trainer.sequence(np.concatenate(rest), streams, window)
+    return total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,34 +382,31 @@ def _inputs(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     return np.where(ids >= 0, vocabulary.inputs(np.maximum(ids, 0)), top - 1 - ids) if len(vocabulary.words) else top - 1 - ids
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, share: float = 0.05, trainer_tokens: int = 700_000, text_col: str = "text", seed: int = 1) -> Network:
+def fit_network(docs: DataFrame, vocabulary: Vocabulary, trainer_tokens: int = 700_000, text_col: str = "text", seed: int = 1) -> Network:
     """Weights averaged over trainers.
 
-    The texts whose hash lies in the first ``share`` are trained on, whole. They
-    are dealt to one trainer for each ``trainer_tokens`` tokens expected, so
-    what is learnt from grows with the input and a trainer's work doesn't.
+    Every text is trained on, whole. The texts are dealt to one trainer for each
+    ``trainer_tokens`` tokens, so a trainer's work doesn't grow with the input.
+    Each trainer makes one pass over its texts as they come.
     """
     start = Network(vocabulary.classes, vocabulary.size)
     start.start(vocabulary, seed)
     if not vocabulary.words:
         return start
-    trainers = max(1, round(vocabulary.tokens * share / trainer_tokens))
+    trainers = max(1, round(vocabulary.tokens / trainer_tokens))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, start.flat))  # known words and one model
-    grain = 1 << 20
-    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64(F.col(text_col), F.lit(3)), F.lit(grain)) < int(share * grain))
+    texts = docs.select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = shared.value
         index = v.index()
         net = Network(v.classes, v.size, flat=flat.copy())
-        parts = [_inputs(ids, v) for b in batches for ids, _ in _sequences(b.column(0).cast(pa.binary()).to_pylist(), index, v)]
-        if parts:
-            tokens = np.concatenate(parts)
-            end = int(_inputs(np.array([index.get(END.encode(), -1 - shape_of(END))]), v)[0])
-            train(net, tokens, end)
-            yield pa.record_batch([pa.array([float(len(tokens))]), pa.array([net.flat.tolist()], pa.list_(pa.float32()))], ["weight", "w"])
-
-    learnt = some.repartition(trainers, F.xxhash64("text")).mapInArrow(run, "weight double, w array<float>")
+        end = int(_inputs(np.array([index.get(END.encode(), -1 - shape_of(END))]), v)[0])
+        n = train_stream(net, (_inputs(ids, v) for b in batches for ids, _ in _sequences(b.column(0).cast(pa.binary()).to_pylist(), index, v)), end)
+        if n:
+            yield pa.record_batch([pa.array([float(n)]), pa.array([net.flat.tolist()], pa.list_(pa.float32()))], ["weight", "w"])
+
+    learnt = texts.repartition(trainers, F.xxhash64("text")).mapInArrow(run, "weight double, w array<float>")
     each = learnt.select("weight", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"))
     got = each.toPandas()  # a row a weight of the model
     if len(got):

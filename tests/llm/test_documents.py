@@ -301,6 +301,33 @@ def test_language_model_edges(spark):
     assert language_model.fit_and_score(table(spark, []), F.lit(True)).count() == 0
 
 
+def fitted(spark, texts, **kw):
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = language_model.fit_vocabulary(language_model.count_tokens(docs), classes=2, size=4)
+    return language_model.fit_network(docs, vocabulary, **kw), vocabulary
+
+
+def test_every_training_text_is_learnt_from(spark):
+    """Whichever text's words come in another order, the weights change, though all counts stay."""
+    texts = [f"a b c d e {'x' * (i % 7 + 1)}" for i in range(12)]
+    first = fitted(spark, texts)[0].flat
+    for i in range(len(texts)):
+        other = [" ".join(reversed(t.split())) if i == k else t for k, t in enumerate(texts)]
+        assert np.abs(fitted(spark, other)[0].flat - first).max() > 1e-6
+
+
+def test_training_by_stream_takes_all_tokens():
+    rnd = np.random.default_rng(4)
+    net = language_model.Network(3, 4, width=5, state=6)
+    net.start(language_model.Vocabulary([], np.zeros(0), np.zeros(0, int), 0, 0, np.ones(language_model.SHAPES), np.ones(language_model.SHAPES), 4, 3))
+    seen, step = Counter(), language_model.Trainer.step
+    texts = [rnd.integers(0, 12, n) for n in (1, 900, 3, 40, 40, 7, 333, 1)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(language_model.Trainer, "step", lambda self, ids, h: (seen.update(ids.ravel().tolist()), step(self, ids, h))[1])
+        n = language_model.train_stream(net, iter(texts), end=11, streams=4, window=8)
+    assert n == sum(map(len, texts)) and seen == Counter(np.concatenate(texts).tolist()) and np.isfinite(net.flat).all()
+
+
 # SimHash
 
 
