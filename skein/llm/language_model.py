@@ -386,8 +386,9 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, trainer_tokens: int = 7
     """Weights averaged over trainers.
 
     Every text is trained on, whole. The texts are dealt to one trainer for each
-    ``trainer_tokens`` tokens, so a trainer's work doesn't grow with the input.
-    Each trainer makes one pass over its texts as they come.
+    ``trainer_tokens`` tokens, row by row, so that neither a larger input nor a
+    group of copies makes a trainer's work grow. Each trainer makes one pass
+    over its texts as they come.
     """
     start = Network(vocabulary.classes, vocabulary.size)
     start.start(vocabulary, seed)
@@ -395,7 +396,8 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, trainer_tokens: int = 7
         return start
     trainers = max(1, round(vocabulary.tokens / trainer_tokens))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, start.flat))  # known words and one model
-    texts = docs.select(F.col(text_col).alias("text"))
+    row = F.monotonically_increasing_id()  # with the text, so that copies are dealt like other texts
+    texts = docs.select(F.col(text_col).alias("text"), row.alias("row")).withColumn("deal", F.xxhash64("text", "row", F.lit(3)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = shared.value
@@ -406,7 +408,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, trainer_tokens: int = 7
         if n:
             yield pa.record_batch([pa.array([float(n)]), pa.array([net.flat.tolist()], pa.list_(pa.float32()))], ["weight", "w"])
 
-    learnt = texts.repartition(trainers, F.xxhash64("text")).mapInArrow(run, "weight double, w array<float>")
+    learnt = texts.repartition(trainers, "deal").select("text").mapInArrow(run, "weight double, w array<float>")
     each = learnt.select("weight", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"))
     got = each.toPandas()  # a row a weight of the model
     if len(got):

@@ -316,6 +316,18 @@ def test_every_training_text_is_learnt_from(spark):
         assert np.abs(fitted(spark, other)[0].flat - first).max() > 1e-6
 
 
+def test_copies_are_dealt_to_all_trainers(spark):
+    """A corpus of copies trains as many networks as one of different texts: their mean isn't one network of them all."""
+    texts = ["a b c d e f g h"] * 400
+    many, vocabulary = fitted(spark, texts, trainer_tokens=450)
+    one = language_model.Network(vocabulary.classes, vocabulary.size)
+    one.start(vocabulary)
+    index = vocabulary.index()
+    seqs = [language_model._inputs(ids, vocabulary) for ids, _ in language_model._sequences([t.encode() for t in texts], index, vocabulary)]
+    language_model.train_stream(one, iter(seqs), int(seqs[0][-1]))
+    assert np.abs(many.flat - one.flat).max() > 1e-3
+
+
 def test_training_by_stream_takes_all_tokens():
     rnd = np.random.default_rng(4)
     net = language_model.Network(3, 4, width=5, state=6)
