@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, packing, secrets, simhash, toxicity
+from skein.llm import decontaminate, near_copies, packing, secrets, simhash, toxicity
 from skein.llm._store import staged, table
 from skein.llm.queries import TOXIC, fold_of
 
@@ -24,8 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.keep_first(docs).select(*COLUMNS)
+    """The document with the smallest id of each group of near-duplicates.
+
+    First by fingerprints, which leaves few copies, then by five-word shingles
+    that agree in four fifths or more.
+    """
+    first = staged(simhash.keep_first(docs).select(*COLUMNS), "fingerprinted")
+    return near_copies.keep_first(first).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,6 +161,31 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("copies", [3, 60])
+def test_near_duplicate_stage_takes_near_copies(spark, sf_dir, copies):
+    """Copies that share four fifths of their five-word runs go, whatever their fingerprints; others stay."""
+    rnd = np.random.default_rng(5)
+    words = [" ".join(f"w{k}" for k in rnd.integers(0, 5000, 200)) for _ in range(8)]
+    rows = [(i, t) for i, t in enumerate(words)]
+    for k in range(copies):  # another word at three places of the first; half of another text
+        w = words[0].split()
+        for at in (30, 90 + k, 170):
+            w[at] = f"new{k}"
+        rows.append((100 + k, " ".join(w)))
+    rows.append((500, " ".join(words[1].split()[:100] + words[2].split()[100:])))
+    rows.append((501, None))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    text = dict(rows)
+    assert all(len(shingles(text[0]) & shingles(text[i])) >= 0.8 * len(shingles(text[0]) | shingles(text[i])) for i in range(100, 100 + copies))
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).select("doc_id").collect()}
+    assert got == {*range(8), 500, 501}
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a password=abcdef1234", "en", "s", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
