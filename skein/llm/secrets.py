@@ -12,6 +12,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,10 +75,11 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], radius: int = 200,
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
     taken = sorted((s, e) for _, s, e in base)
+    reach = list(accumulate((e for _, e in taken), max))  # how far the spans up to each one go
 
     def free(s: int, e: int) -> bool:
         i = bisect_left(taken, (e, -1))
-        return not any(b > s for _, b in taken[max(0, i - 3) : i])
+        return not i or reach[i - 1] <= s
 
     randoms, idents, ends = ([x for x in xs if free(*x)] for xs in (randoms, idents, ends))
 

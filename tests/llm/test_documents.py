@@ -444,6 +444,15 @@ def test_secret_patterns():
     assert scan_text(None) == [] and scan_text("") == []
 
 
+def test_parts_inside_a_long_assignment_are_not_repeated():
+    """However many strong spans lie in the assignment before the part."""
+    weak = "Zx9Qw7Lk2Mn8Vb4Rt6Yp"
+    for n in range(1, 6):
+        t = f"account_id: 123456789 token={'.'.join(['0a' * 12] * n)}.{weak}"
+        kinds = [k for k, _, _ in scan_text(t)]
+        assert kinds.count("assign") == 1 and kinds.count("hex") == n and "secret" not in kinds
+
+
 def test_redaction(spark):
     rows = ODD[:6] + [(1, "a password=abcdef1234 b"), (2, "token = " + "0a" * 20)]
     out = {r.doc_id: r.text for r in secrets.redact_secrets(table(spark, rows)).collect()}
