@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from skein.functions import text
 from skein.plans.fixtures import CHANNELS_SQL, EVENTS, MESSAGES
 
-_URL = r"""https?://[^\s<>"'']+|www\.[^\s<>"'']+"""
+_URL = text.URL.replace("'", "''")
 
 
 def _normalized(t: str) -> str:
@@ -26,20 +27,27 @@ def url(u: str) -> str:
 
 _ALL = lambda p, g=0: f"regexp_extract_all(text, '{p}', {g})"
 _PAIRS = lambda p: f"list_transform(list_zip({_ALL(p, 1)}, {_ALL(p, 2)}), lambda x: x[1] || '#' || x[2])"
+_TAGGED = lambda tag, p, g: f"list_transform({_ALL(p, g)}, lambda x: '{tag}:' || x)"
 LINKS = f"list_transform({_ALL('(?i)' + _URL)}, lambda u: split_part(regexp_replace(u, '[,.;:!?)]+$', ''), '|', 1))"
-ANCHORS = (
-    "list_sort(list_distinct(list_concat("
-    + ", ".join(
-        [
-            _ALL(r"\b([A-Z]{2,10}-\d+)\b", 1),
-            _PAIRS(r"github\.com/([a-zA-Z0-9_-]+/[a-zA-Z0-9_-]+)(?:/issues/|/pull/|#)(\d+)"),
-            _PAIRS(r"gitlab\.com/([a-zA-Z0-9_/-]+)(?:/issues/|/merge_requests/|-/issues/|-/merge_requests/)(\d+)"),
-            f"""list_transform({_ALL(r'zoom[.]us/[^[:space:]<>]+')}, lambda x: 'zoom:' || x)""",
-            f"list_transform({_ALL(r'meet[.]google[.]com/([a-z]{3}-[a-z]{4}-[a-z]{3})', 1)}, lambda x: 'meet:' || x)",
-        ]
-    )
-    + ")))"
-)
+
+
+def _quoted(pattern: str) -> str:
+    """A pattern inside SQL quotes; DuckDB's has no flag for Unicode classes."""
+    return pattern.removeprefix("(?U)").replace("'", "''")
+
+
+_FAMILIES = [
+    _ALL(_quoted(text.JIRA), 1),
+    _PAIRS(_quoted(text.GITHUB)),
+    _PAIRS(_quoted(text.GITLAB)),
+    _TAGGED("zoom", _quoted(text.ZOOM), 0),
+    _TAGGED("meet", _quoted(text.MEET), 1),
+    f"CASE WHEN regexp_matches(text, '{_quoted(text.TEAMS)}') THEN ['teams:meeting'] ELSE [] END",
+    _TAGGED("confluence", _quoted(text.CONFLUENCE), 1),
+    _TAGGED("notion", _quoted(text.NOTION), 1),
+    _TAGGED("gdoc", _quoted(text.GDOC), 1),
+]
+ANCHORS = f"list_sort(list_distinct(list_concat({', '.join(_FAMILIES)})))"
 
 M = f"m AS ({MESSAGES})"
 N = (
