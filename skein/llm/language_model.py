@@ -2,23 +2,35 @@
 
 Words of the training texts are counted in full. The most frequent ones form
 classes of equal size; all others fall into classes by their shape. The network
-(a GRU) gives the probability of the next word's class and, for a frequent
-word, of the word in its class; a rare word has its share of its class's
-counts, where one unknown word of each shape is counted as half a word.
-Weights are learnt by truncated backpropagation on every training text, by
-trainers whose number grows with the texts, and averaged.
+gives the probability of the next word's class and, for a frequent word, of the
+word in its class; a rare word has its share of its class's counts, where one
+unknown word of each shape is counted as half a word.
+
+The recurrent unit keeps a part f of its state and takes the rest from a
+candidate c: h' = f h + (1 - f) c. Gate and candidate depend on the word read
+alone (a minimal gated unit), so those of a whole window are found at once and
+the recurrence itself costs two products a step. Both go through x / (1 + |x|),
+and the softmax through straight lines between the powers of two, in training
+and scoring alike: both are an order of magnitude cheaper than exp, and what is
+divided by its sum is a distribution all the same.
+
+Weights are learnt by truncated backpropagation on every training text, in
+rounds: each round's texts are dealt to trainers whose number grows with the
+texts, and the trainers' weights are averaged after the round.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,19 +42,36 @@ from skein.llm._words import slices
 END = "\n"
 _ACCENTS = (re.compile("[äöüß]"), re.compile("[éèêëàâçîïôûùœ]"), re.compile("[ñóíúá¿¡]"))
 SHAPES = 24
+#: Rows of which a softmax is taken at a time, so that they stay in the cache.
+CHUNK = 2048
+#: Bytes of text that are cut into words at a time.
+TEXT = 24 << 20
+#: Weights in a row of what a trainer sends.
+PIECE = 4096
+#: Trainers whose weights are added up before all are.
+LOT = 64
 
 
 def shape_of(word: str) -> int:
     """A rare word's class: its accents, length and whether it ends in a letter."""
-    low = word.lower()
-    accent = next((i for i, p in enumerate(_ACCENTS) if p.search(low)), 3)
+    accent = 3
+    if not word.isascii():
+        low = word.lower()
+        accent = next((i for i, p in enumerate(_ACCENTS) if p.search(low)), 3)
     length = 0 if len(word) <= 5 else 1 if len(word) <= 10 else 2
     return (accent * 3 + length) * 2 + (not word[-1:].isalpha())
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """A-Z lower-cased, cut at ASCII white space."""
-    return text.lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in order, and the number of each text's: A-Z lower-cased, cut at ASCII white space."""
+    low = pc.ascii_lower(texts.cast(pa.string()).fill_null(""))
+    split = pc.ascii_split_whitespace(low)
+    words, counts = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not full.all():  # white space at a text's ends leaves an empty word there
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full], minlength=len(counts))
+        words = words.filter(pa.array(full))
+    return words, counts
 
 
 @dataclass
@@ -67,8 +96,12 @@ class Vocabulary:
         return {w: i for i, w in enumerate(self.words)}
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:
-        """Network input of each id: a frequent word or a shape."""
-        return np.where(ids < self.head, ids, self.size * self.classes + self.shapes[ids])
+        """Network input of each id: a frequent word or a shape; ids below zero are -1 - shape."""
+        top = self.size * self.classes
+        if not self.words:
+            return top - 1 - ids
+        known = np.maximum(ids, 0)
+        return np.where(ids < 0, top - 1 - ids, np.where(known < self.head, known, top + self.shapes[known]))
 
     def rare_log(self) -> np.ndarray:
         """log of the in-class probability of a shape's word with count c: this and log(c + 0.5)."""
@@ -78,10 +111,10 @@ class Vocabulary:
 class Network:
     """The weights in one vector, with views by name."""
 
-    def __init__(self, classes: int, size: int, width: int = 12, state: int = 24, flat: np.ndarray | None = None):
+    def __init__(self, classes: int, size: int, width: int = 16, state: int = 24, flat: np.ndarray | None = None):
         self.classes, self.size, self.width, self.state = classes, size, width, state
         self.shapes = {
-            "embed": (classes * size + SHAPES, width), "wx": (width, 3 * state), "bx": (3 * state,), "wh": (state, 3 * state),
+            "embed": (classes * size + SHAPES, width), "wx": (width, 2 * state), "bx": (2 * state,),
             "wc": (state, classes + SHAPES), "bc": (classes + SHAPES,), "ww": (classes, state, size), "bw": (classes, size),
         }
         n = sum(math.prod(s) for s in self.shapes.values())
@@ -92,10 +125,12 @@ class Network:
             at += math.prod(s)
 
     def start(self, vocabulary: Vocabulary, seed: int = 1) -> None:
-        """Random weights, and biases at the counts: without training this is the unigram of classes and words."""
+        """Random weights, gates from a short to a long memory, and biases at the counts: without training this is
+        the unigram of classes and words."""
         rng = np.random.default_rng(seed)
-        for name, scale in (("embed", 0.3), ("wx", self.width**-0.5), ("wh", 0.7 * self.state**-0.5)):
-            getattr(self, name)[:] = rng.normal(0, scale, self.shapes[name])
+        self.embed[:] = rng.normal(0, 0.3, self.embed.shape)
+        self.wx[:] = rng.normal(0, self.width**-0.5, self.wx.shape)
+        self.bx[: self.state] = np.linspace(-4, 4, self.state)
         c = np.zeros(self.classes * self.size)
         c[: vocabulary.head] = vocabulary.counts[: vocabulary.head]
         by = np.concatenate([c.reshape(self.classes, self.size).sum(axis=1), vocabulary.shape_tokens]) + 0.5
@@ -103,30 +138,52 @@ class Network:
         held = np.arange(self.classes * self.size) < vocabulary.head
         self.bw[:] = np.where(held, np.log(c + 0.5), -30).reshape(self.classes, self.size)
 
-    def table(self) -> np.ndarray:
-        """What each input adds to the gates."""
-        return self.embed @ self.wx + self.bx
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each input keeps of the state, and its candidate."""
+        a = _squash(self.embed @ self.wx + self.bx)
+        return np.ascontiguousarray(0.5 + 0.5 * a[:, : self.state]), np.ascontiguousarray(a[:, self.state :])
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(next state, z, r, n, the candidate's part from h) from the input's part of the gates."""
-        k = self.state
-        g = h @ self.wh
-        zr = 1 / (1 + np.exp(-(gates[:, : 2 * k] + g[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gates[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), z, r, n, g[:, 2 * k :]
+    def labels(self) -> np.ndarray:
+        """The class of each input."""
+        top = self.classes * self.size
+        return np.concatenate([np.arange(top) // self.size, self.classes + np.arange(SHAPES)]).astype(np.int16)
 
-    def class_logits(self, h: np.ndarray) -> np.ndarray:
-        return h @ self.wc + self.bc
 
+def _squash(a: np.ndarray) -> np.ndarray:
+    return a / (1 + np.abs(a))
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the softmax's value at one place a row; changes ``logits``."""
-    if len(logits) and float(logits.max()) > 60:  # else the sums stay far below what a float holds
-        logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(at)), at]
-    np.exp(logits, out=logits)
-    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+_LINE, _ZERO, _LEAST = np.float32(2**23 / math.log(2)), np.float32(127 * 2**23), np.float32(2**23)
+
+
+def _rise(x: np.ndarray) -> np.ndarray:
+    """exp with straight lines between the powers of two, never zero; changes ``x``.
+
+    A float's bits, read as a whole number, are such a line already. Where a
+    value could grow too large its row is divided by a power of two, which
+    leaves the shares as they are.
+    """
+    if x.size and float(x.max()) > 60:
+        x -= np.ceil(x.max(axis=1, keepdims=True) / math.log(2)).astype(np.float32) * np.float32(math.log(2))
+    x *= _LINE
+    x += _ZERO
+    np.maximum(x, _LEAST, out=x)
+    return x.astype(np.int32).view(np.float32)
+
+
+def _ones(n: int) -> np.ndarray:
+    return np.ones(n, np.float32)
+
+
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log of the share of one place a row; changes ``logits``."""
+    e = _rise(logits)
+    return np.log(e[np.arange(len(at)), at] / (e @ _ones(e.shape[1])))
+
+
+def _parts(a: int, b: int) -> Iterator[tuple[int, int]]:
+    for i in range(a, b, CHUNK):
+        yield i, min(b, i + CHUNK)
 
 
 def log_probabilities(net: Network, inputs: list[np.ndarray], group: int = 1024, window: int = 32) -> np.ndarray:
@@ -135,44 +192,42 @@ def log_probabilities(net: Network, inputs: list[np.ndarray], group: int = 1024,
     Sequences run side by side, the longest first, in windows of steps; the
     state is carried from window to window, so a sequence is one whole.
     """
-    out = np.zeros(len(inputs))
-    order = sorted(range(len(inputs)), key=lambda i: -len(inputs[i]))
-    table, top = net.table(), net.classes * net.size
+    lengths = np.array([len(x) for x in inputs], np.int64)
+    return log_of(net, np.concatenate([np.zeros(0, np.int64), *inputs]), lengths, group, window)
+
+
+def log_of(net: Network, flat: np.ndarray, lengths: np.ndarray, group: int = 1024, window: int = 32) -> np.ndarray:
+    """``log_probabilities`` of sequences that follow each other in ``flat``."""
+    out = np.zeros(len(lengths))
+    keep, candidate = net.gates()
+    take, labels = (1 - keep) * candidate, net.labels()
+    begin, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
     for g in range(0, len(order), group):
         part = order[g : g + group]
-        lengths = np.array([len(inputs[i]) for i in part])
+        size, first = lengths[part], begin[part]
         h = np.zeros((len(part), net.state), np.float32)
-        for at in range(0, lengths[0], window):
-            live = int((lengths > at).sum())
-            ids = np.zeros((live, window), np.int64)
-            for k in range(live):
-                x = inputs[part[k]][at : at + window]
-                ids[k, : len(x)] = x
-            steps = min(window, lengths[0] - at)
-            active = [int((lengths > at + t).sum()) for t in range(steps)]
-            states = np.empty((sum(active), net.state), np.float32)
-            flat = np.empty(sum(active), np.int64)
-            p = 0
-            for t, n in enumerate(active):
-                states[p : p + n], flat[p : p + n] = h[:n], ids[:n, t]
-                p += n
-                if n:
-                    h[:n] = net.step(table[ids[:n, t]], h[:n])[0]
-            frequent = flat < top
-            label = np.where(frequent, flat // net.size, net.classes + flat - top)
-            log = _log_softmax_at(net.class_logits(states), label)
-            which = np.argsort(label, kind="stable")
-            edges = np.searchsorted(label[which], np.arange(net.classes + 1))
-            for c in range(net.classes):
-                rows = which[edges[c] : edges[c + 1]]
-                if len(rows):
-                    log[rows] += _log_softmax_at(states[rows] @ net.ww[c] + net.bw[c], flat[rows] - c * net.size)
-            p = 0
-            total = np.zeros(live)
+        for at in range(0, int(size[0]), window):
+            t = at + np.arange(min(window, int(size[0]) - at))
+            active = np.searchsorted(-size, -t)  # sequences longer than t
+            row = np.arange(active.sum()) - np.repeat(np.cumsum(active) - active, active)
+            x = flat[first[row] + np.repeat(t, active)]
+            kept, taken, states, p = keep[x], take[x], np.empty((len(x), net.state), np.float32), 0
             for n in active:
-                total[:n] += log[p : p + n]
+                now = h[:n]
+                states[p : p + n] = now
+                now *= kept[p : p + n]
+                now += taken[p : p + n]
                 p += n
-            out[part[:live]] += total
+            which = np.argsort(labels[x], kind="stable")
+            label, x, states = labels[x][which], x[which], states[which]
+            log = np.empty(len(x), np.float32)
+            for a, b in _parts(0, len(x)):
+                log[a:b] = _log_share(states[a:b] @ net.wc + net.bc, label[a:b])
+            edges = np.searchsorted(label, np.arange(net.classes + 1))
+            for c in np.flatnonzero(np.diff(edges)):
+                for a, b in _parts(edges[c], edges[c + 1]):
+                    log[a:b] += _log_share(states[a:b] @ net.ww[c] + net.bw[c], x[a:b] - c * net.size)
+            out[part] += np.bincount(row[which], log, len(part))
     return out
 
 
@@ -182,64 +237,85 @@ class Trainer:
     def __init__(self, net: Network, end: int, rate: float = 0.01):
         self.net, self.end, self.rate = net, end, rate
         self.first, self.second, self.count = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
+        self.grad, self.labels = Network(net.classes, net.size, net.width, net.state), net.labels()
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The state after a window (streams x steps of inputs) that began in state ``h``."""
-        net, end, streams = self.net, self.end, len(ids)
-        k, top = net.state, net.classes * net.size
-        grad = Network(net.classes, net.size, net.width, net.state)
-        kept, states = [], []
-        table = net.table() if ids.size > top else None
-        for t in range(ids.shape[1]):
-            x = ids[:, t]
-            states.append(h)
-            gates = table[x] if table is not None else net.embed[x] @ net.wx + net.bx
-            new, z, r, n, g2 = net.step(gates, h)
-            kept.append((h, z, r, n, g2))
-            h = np.where((x == end)[:, None], np.float32(0), new)
-        s, flat = np.concatenate(states), ids.T.ravel()
-        frequent = flat < top
-        label = np.where(frequent, flat // net.size, net.classes + flat - top)
-        scale = np.float32(1 / len(flat))
-        d = net.class_logits(s)
-        d = np.exp(d - d.max(axis=1, keepdims=True))
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(flat)), label] -= 1
-        d *= scale
-        grad.wc[:], grad.bc[:] = s.T @ d, d.sum(axis=0)
-        ds = d @ net.wc.T
-        for c in np.unique(label[frequent]):
-            rows = np.flatnonzero(label == c)
-            e = s[rows] @ net.ww[c] + net.bw[c]
-            e = np.exp(e - e.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(rows)), flat[rows] - c * net.size] -= 1
+        net, ids = self.net, np.ascontiguousarray(ids.T)
+        (steps, streams), flat = ids.shape, ids.ravel()
+        gate, candidate = net.gates()
+        f, c = (x[flat].reshape(steps, streams, net.state) for x in (gate, candidate))
+        taken, ends = (1 - f) * c, [np.flatnonzero(row == self.end) for row in ids]
+        states = np.empty((steps + 1, streams, net.state), np.float32)
+        states[0] = h
+        for t in range(steps):
+            np.multiply(states[t], f[t], out=states[t + 1])
+            states[t + 1] += taken[t]
+            states[t + 1][ends[t]] = 0
+        self.grad.flat[:] = 0
+        ds = self._softmax(states[:-1].reshape(-1, net.state), flat).reshape(f.shape)
+        dn, dh = np.empty_like(f), np.zeros((streams, net.state), np.float32)  # what reaches each step's new state
+        for t in range(steps - 1, -1, -1):
+            dh[ends[t]] = 0
+            dn[t] = dh
+            dh *= f[t]
+            dh += ds[t]
+        self._inputs(flat, (states[:-1] - c) * dn, (1 - f) * dn, f, c)
+        self._adam()
+        return states[-1]
+
+    def _softmax(self, s: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The states' gradient; that of the softmax's weights is kept."""
+        net, grad, label = self.net, self.grad, self.labels[flat]
+        order = np.argsort(label, kind="stable")
+        label, x, s, scale = label[order], flat[order], s[order], np.float32(1 / len(flat))
+        ds = np.empty_like(s)
+
+        def shares(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            e = _rise(logits)
+            e /= (e @ _ones(e.shape[1]))[:, None]
+            e[np.arange(len(at)), at] -= 1
             e *= scale
-            grad.ww[c], grad.bw[c] = s[rows].T @ e, e.sum(axis=0)
-            ds[rows] += e @ net.ww[c].T
-        ds = ds.reshape(ids.shape[1], streams, k)
-        dh = np.zeros((streams, k), np.float32)
-        for t in range(ids.shape[1] - 1, -1, -1):
-            before, z, r, n, g2 = kept[t]
-            x = ids[:, t]
-            dh = np.where((x == end)[:, None], np.float32(0), dh)
-            dn = (1 - z) * dh * (1 - n * n)
-            da = np.concatenate([(before - n) * dh * z * (1 - z), dn * g2 * r * (1 - r), dn], axis=1)
-            dg = np.concatenate([da[:, : 2 * k], dn * r], axis=1)
-            grad.wh += before.T @ dg
-            e = net.embed[x]
-            grad.wx += e.T @ da
-            grad.bx += da.sum(axis=0)
-            np.add.at(grad.embed, x, da @ net.wx.T)
-            dh = z * dh + dg @ net.wh.T + ds[t]
-        norm = float(np.sqrt((grad.flat**2).sum()))
+            return e
+
+        for a, b in _parts(0, len(x)):
+            d = shares(s[a:b] @ net.wc + net.bc, label[a:b])
+            grad.wc += (d.T @ s[a:b]).T
+            grad.bc += _ones(b - a) @ d
+            np.matmul(d, net.wc.T, out=ds[a:b])
+        edges = np.searchsorted(label, np.arange(net.classes + 1))
+        for c in np.flatnonzero(np.diff(edges)):
+            for a, b in _parts(edges[c], edges[c + 1]):
+                d = shares(s[a:b] @ net.ww[c] + net.bw[c], x[a:b] - c * net.size)
+                grad.ww[c] += (d.T @ s[a:b]).T
+                grad.bw[c] += _ones(b - a) @ d
+                ds[a:b] += d @ net.ww[c].T
+        out = np.empty_like(ds)
+        out[order] = ds
+        return out
+
+    def _inputs(self, flat: np.ndarray, df: np.ndarray, dc: np.ndarray, f: np.ndarray, c: np.ndarray) -> None:
+        """The gradient of the embedding and of what makes gates and candidates of it."""
+        net, grad, k = self.net, self.grad, self.net.state
+        da = np.empty((len(flat), 2 * k), np.float32)
+        da[:, :k] = (df * 0.5 * (1 - np.abs(2 * f - 1)) ** 2).reshape(-1, k)  # x / (1 + |x|) has the slope (1 - |y|)^2
+        da[:, k:] = (dc * (1 - np.abs(c)) ** 2).reshape(-1, k)
+        grad.wx[:] = (da.T @ net.embed[flat]).T
+        grad.bx[:] = _ones(len(flat)) @ da
+        each = np.ascontiguousarray((da @ net.wx.T).T)
+        for j in range(net.width):
+            grad.embed[:, j] = np.bincount(flat, each[j], len(net.embed))
+
+    def _adam(self) -> None:
+        g = self.grad.flat
+        norm = float(np.sqrt(g @ g))
         if norm > 1:
-            grad.flat /= norm
+            g /= norm
         self.count += 1
-        self.first += 0.1 * (grad.flat - self.first)
-        self.second += 0.001 * (grad.flat**2 - self.second)
-        net.flat -= self.rate * (self.first / (1 - 0.9**self.count)) / (np.sqrt(self.second / (1 - 0.999**self.count)) + 1e-8)
-        return h
+        self.first += np.float32(0.1) * (g - self.first)
+        self.second += np.float32(0.001) * (g * g - self.second)
+        scale = np.sqrt(self.second) * np.float32((1 - 0.999**self.count) ** -0.5) + np.float32(1e-8)
+        self.net.flat -= np.float32(self.rate / (1 - 0.9**self.count)) * self.first / scale
 
     def sequence(self, tokens: np.ndarray, streams: int, window: int) -> None:
         """Steps over a sequence that is cut into ``streams`` at most, the last few tokens included."""
@@ -264,58 +340,58 @@ def train(net: Network, tokens: np.ndarray, end: int, streams: int = 32, window:
         trainer.sequence(tokens, streams, window)
 
 
-def train_stream(net: Network, texts: Iterator[np.ndarray], end: int, streams: int = 32, window: int = 16, rate: float = 0.01) -> int:
+def train_stream(
+    net: Network, texts: Iterator[np.ndarray], end: int, streams: int = 32, window: int = 16, rate: float = 0.01, trainer: Trainer | None = None,
+    rate_at=lambda seen: 1.0,
+) -> int:
     """``train`` in one pass over texts as they come; the number of tokens, all of which are learnt from.
 
     Each text goes whole to the stream with the fewest tokens waiting, so what
     is held doesn't grow with the number of texts. What waits at the end, less
-    than a window in some stream, is cut into streams anew.
+    than a window in some stream, is cut into streams anew. ``rate_at`` is the
+    share of the rate after so many tokens.
     """
-    trainer, total = Trainer(net, end, rate), 0
+    trainer, total, learnt = trainer or Trainer(net, end, rate), 0, 0
     waiting: list[deque[np.ndarray]] = [deque() for _ in range(streams)]
-    sizes = [0] * streams
+    sizes = np.zeros(streams, np.int64)
     h = np.zeros((streams, net.state), np.float32)
 
-    def take(q: deque[np.ndarray]) -> np.ndarray:
+    def take(q: deque[np.ndarray], length: int) -> np.ndarray:
         out, n = [], 0
-        while n < window:
+        while n < length:
             x = q.popleft()
-            out.append(x[: window - n])
-            if len(x) > window - n:
-                q.appendleft(x[window - n :])
+            out.append(x[: length - n])
+            if len(x) > length - n:
+                q.appendleft(x[length - n :])
             n += len(out[-1])
         return np.concatenate(out)
 
     for x in texts:
-        i = sizes.index(min(sizes))
+        i = int(sizes.argmin())
         waiting[i].append(x)
         sizes[i] += len(x)
         total += len(x)
-        while min(sizes) >= window:
-            h = trainer.step(np.stack([take(q) for q in waiting]), h)
-            sizes = [n - window for n in sizes]
+        if (windows := int(sizes.min()) // window) >= 8:
+            grid = np.stack([take(q, windows * window) for q in waiting])
+            for at in range(0, windows * window, window):
+                trainer.rate = rate * rate_at(learnt)
+                h = trainer.step(grid[:, at : at + window], h)
+                learnt += streams * window
+            sizes -= windows * window
     rest = [x for q in waiting for x in q]
     if rest:
+        trainer.rate = rate * rate_at(learnt)
         trainer.sequence(np.concatenate(rest), streams, window)
     return total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally: Counter = Counter()
-
-    def made() -> pa.RecordBatch:
-        words = list(tally)
-        out = pa.record_batch([pa.array(words, pa.binary()).cast(pa.string()), pa.array([tally[w] for w in words], pa.int64())], ["token", "c"])
-        tally.clear()
-        return out
-
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            tally.update(words_of(text.as_py()))
-            tally[END.encode()] += 1
-        if len(tally) > 400_000:
-            yield made()
-    yield made()
+        for part in slices(batch, 0, TEXT):
+            got = pc.value_counts(words_of(part.column(0))[0])
+            yield pa.record_batch(
+                [pa.concat_arrays([got.field("values"), pa.array([END])]), pa.concat_arrays([got.field("counts"), pa.array([part.num_rows], pa.int64())])], ["token", "c"]
+            )
 
 
 @F.arrow_udf(T.IntegerType())
@@ -331,7 +407,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out
 
 
-def fit_vocabulary(counts: DataFrame, known: int = 200_000, classes: int = 48, size: int = 64) -> Vocabulary:
+def fit_vocabulary(counts: DataFrame, known: int = 200_000, classes: int = 32, size: int = 96) -> Vocabulary:
     """The most frequent words, ``known`` at most, and totals over all.
 
     Words are known from a count on that few enough reach; the counts' steps
@@ -359,62 +435,129 @@ def fit_vocabulary(counts: DataFrame, known: int = 200_000, classes: int = 48, s
     return Vocabulary([t.encode() for t in top["token"]], c, shapes, int(total[0] or 0), int(total[1]), tokens, distinct, size, classes)
 
 
-def _sequences(texts: list[bytes | None], index: dict[bytes, int], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, Counter]]:
-    """(ids of a text's known tokens in order, with -1 - shape for others, counts of the others)."""
-    end = index.get(END.encode(), -1)
-    for text in texts:
-        words = words_of(text)
-        ids = [index.get(w, -1) for w in words]
-        rest: Counter = Counter()
-        if -1 in ids:
-            for i, (k, w) in enumerate(zip(ids, words)):
-                if k < 0:
-                    rest[w] += 1
-                    ids[i] = -1 - shape_of(w.decode())
-        if end < 0:
-            rest[END.encode()] += 1
-        ids.append(end if end >= 0 else -1 - shape_of(END))
-        yield np.array(ids, np.int64), rest
-
-
-def _inputs(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    top = vocabulary.size * vocabulary.classes
-    return np.where(ids >= 0, vocabulary.inputs(np.maximum(ids, 0)), top - 1 - ids) if len(vocabulary.words) else top - 1 - ids
-
-
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, trainer_tokens: int = 700_000, text_col: str = "text", seed: int = 1) -> Network:
-    """Weights averaged over trainers.
-
-    Every text is trained on, whole. The texts are dealt to one trainer for each
-    ``trainer_tokens`` tokens, row by row, so that neither a larger input nor a
-    group of copies makes a trainer's work grow. Each trainer makes one pass
-    over its texts as they come.
+@dataclass
+class Encoded:
+    """Tokens of texts one after another, and the words among them that aren't known to every worker."""
+
+    ids: np.ndarray  # -1 - shape for a word that isn't known
+    lengths: np.ndarray
+    words: pa.Array  # distinct words
+    rows: np.ndarray  # text, index into words and number of times, for each unknown word of each text
+    which: np.ndarray
+    times: np.ndarray
+
+
+def encode(texts: pa.Array, index: dict[bytes, int]) -> Encoded:
+    """The tokens of each text, its end last. Each distinct word is looked up once."""
+    words, counts = words_of(texts)
+    coded = pa.concat_arrays([words, pa.array([END])]).dictionary_encode()
+    code, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    get = index.get
+    of = np.fromiter((k if (k := get(w)) is not None else -1 - shape_of(w.decode()) for w in distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
+    rows = np.arange(len(counts))
+    lengths = counts + 1
+    ends = np.cumsum(lengths) - 1
+    at = np.ones(int(lengths.sum()), bool)
+    at[ends] = False
+    which = np.full(len(at), code[-1])
+    which[at] = code[:-1]
+    ids = of[which]
+    unknown = np.flatnonzero(ids < 0)
+    pair, times = np.unique(np.repeat(rows, lengths)[unknown] * len(distinct) + which[unknown], return_counts=True)
+    return Encoded(ids, lengths, distinct, pair // len(distinct), pair % len(distinct), times)
+
+
+def sequences(texts: pa.Array, index: dict[bytes, int], vocabulary: Vocabulary) -> list[np.ndarray]:
+    """The network's inputs of each text."""
+    got = encode(texts, index)
+    return np.split(vocabulary.inputs(got.ids), np.cumsum(got.lengths)[:-1]) if len(got.lengths) else []
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of rows that come sorted by (lot, piece); one sum is held at a time."""
+    key, weight, steps, total = None, 0.0, 0.0, np.zeros(0)
+
+    def made() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([weight]), pa.array([steps]), pa.array([total], pa.list_(pa.float64()))], ["lot", "piece", "weight", "steps", "w"])
+
+    for batch in batches:
+        for lot, piece, n, k, w in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+            if (lot, piece) != key:
+                if key is not None:
+                    yield made()
+                key, weight, steps, total = (lot, piece), 0.0, 0.0, np.zeros(len(w))
+            weight, steps, total = weight + n, steps + k, total + w.values.to_numpy(zero_copy_only=False)
+    if key is not None:
+        yield made()
+
+
+_SENT = "lot int, piece int, weight double, steps double, w array<double>"
+
+
+def _sums(sent: DataFrame) -> DataFrame:
+    return sent.repartition("lot", "piece").sortWithinPartitions("lot", "piece").mapInArrow(_added, _SENT)
+
+
+def fit_network(
+    docs: DataFrame, vocabulary: Vocabulary, trainer_tokens: int = 3_000_000, rounds: int = 4, streams: int = 256, window: int = 16, rate: float = 0.02,
+    text_col: str = "text", seed: int = 1,
+) -> Network:
+    """Weights learnt by trainers in ``rounds``, averaged after each.
+
+    Every text is trained on, whole, in one of the rounds. A round's texts are
+    dealt to one trainer for each ``trainer_tokens`` tokens, row by row, so that
+    neither a larger input nor a group of copies makes a trainer's work grow.
+    Each trainer makes one pass over its texts as they come, from the mean of
+    the round before, Adam's second moments included. Fewer tokens than
+    a trainer's are one trainer's single round. The rate falls linearly.
     """
     start = Network(vocabulary.classes, vocabulary.size)
     start.start(vocabulary, seed)
     if not vocabulary.words:
         return start
+    spark = docs.sparkSession
     trainers = max(1, round(vocabulary.tokens / trainer_tokens))
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, start.flat))  # known words and one model
+    rounds = min(rounds, trainers)
+    trainers = -(-trainers // rounds)
+    expected = vocabulary.tokens / rounds / trainers
+    streams = int(min(streams, max(1, expected // (64 * window))))
     row = F.monotonically_increasing_id()  # with the text, so that copies are dealt like other texts
     texts = docs.select(F.col(text_col).alias("text"), row.alias("row")).withColumn("deal", F.xxhash64("text", "row", F.lit(3)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = shared.value
-        index = v.index()
-        net = Network(v.classes, v.size, flat=flat.copy())
-        end = int(_inputs(np.array([index.get(END.encode(), -1 - shape_of(END))]), v)[0])
-        n = train_stream(net, (_inputs(ids, v) for b in batches for ids, _ in _sequences(b.column(0).cast(pa.binary()).to_pylist(), index, v)), end)
-        if n:
-            yield pa.record_batch([pa.array([float(n)]), pa.array([net.flat.tolist()], pa.list_(pa.float32()))], ["weight", "w"])
-
-    learnt = texts.repartition(trainers, "deal").select("text").mapInArrow(run, "weight double, w array<float>")
-    each = learnt.select("weight", F.posexplode("w").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("weight")) / F.sum("weight")).alias("x"))
-    got = each.toPandas()  # a row a weight of the model
-    if len(got):
-        flat = np.zeros_like(start.flat)
-        flat[got["i"].to_numpy()] = got["x"].to_numpy()
-        start = Network(vocabulary.classes, vocabulary.size, flat=flat)
+    moments, steps = np.zeros_like(start.flat), 0
+    for r in range(rounds):
+        shared = spark.sparkContext.broadcast((vocabulary, start.flat, moments, steps))  # known words and one model
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v, flat, second, count = shared.value
+            index, net = v.index(), Network(v.classes, v.size, flat=flat.copy())
+            end = int(v.inputs(np.array([index.get(END.encode(), -1 - shape_of(END))]))[0])
+            trainer = Trainer(net, end, rate)
+            trainer.second[:], trainer.count = second, count
+
+            def dealt() -> Iterator[np.ndarray]:
+                for batch in batches:
+                    for part in slices(batch, 0, TEXT):
+                        yield from sequences(part.column(0), index, v)
+
+            n = train_stream(net, dealt(), end, streams, window, rate, trainer, lambda seen: 1 - 0.95 * (r + min(1.0, seen / expected)) / rounds)
+            if n:
+                both = np.concatenate([net.flat, trainer.second]).astype(np.float64) * n
+                pieces = [both[i : i + PIECE] for i in range(0, len(both), PIECE)]
+                lot = np.full(len(pieces), TaskContext.get().partitionId() // LOT, np.int32)
+                weight, done = np.full(len(pieces), float(n)), np.full(len(pieces), float(trainer.count) * n)
+                yield pa.record_batch([pa.array(lot), pa.array(range(len(pieces)), pa.int32()), pa.array(weight), pa.array(done), pa.array(pieces, pa.list_(pa.float64()))], ["lot", "piece", "weight", "steps", "w"])
+
+        mine = texts.where(F.pmod(F.xxhash64("deal", F.lit(5)), F.lit(rounds)) == r) if rounds > 1 else texts
+        sent = mine.repartition(trainers, "deal").select("text").mapInArrow(run, _SENT)
+        if trainers > LOT:
+            sent = _sums(sent).withColumn("lot", F.lit(0))
+        got = sorted(_sums(sent.withColumn("lot", F.lit(0))).collect(), key=lambda x: x.piece)  # one model
+        if got:
+            both = np.concatenate([np.array(x.w) / x.weight for x in got]).astype(np.float32)
+            n = len(start.flat)
+            start, moments, steps = Network(vocabulary.classes, vocabulary.size, flat=both[:n].copy()), np.maximum(both[n:], 0), round(got[0].steps / got[0].weight)
+        shared.destroy()
+        release(spark)
     return start
 
 
@@ -425,7 +568,9 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Netwo
     score that under the model. A null or empty text is the end token alone.
     Words that are not known to every worker are joined with the counts of all
     words. Repeated rows and null ids are rows of their own. Without training
-    texts N and V are zero, and every token is an unknown one.
+    texts N and V are zero, and every token is an unknown one. Texts are scored
+    whole at any length; an empty table gives an empty table; other columns,
+    whatever their names, are not read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((vocabulary, net.flat))  # known words and one model
@@ -436,25 +581,26 @@ def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, net: Netwo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, flat = shared.value
         index, model = voc.index(), Network(voc.classes, voc.size, flat=flat)
-        logc = np.log10(voc.counts + 0.5)
+        logc = np.log10(np.concatenate([voc.counts, np.full(SHAPES, 0.5)]) + 0.5)  # those of unknown words, last, are 0
+        tail = np.concatenate([np.where(np.arange(len(voc.words)) < voc.head, 0, logc[: len(voc.words)] + rare[voc.shapes]), rare[::-1]])
         for batch in batches:
-            for part in slices(batch, 2, 24 << 20):
-                got = list(_sequences(part.column(2).cast(pa.binary()).to_pylist(), index, voc))
-                model_log = log_probabilities(model, [_inputs(ids, voc) for ids, _ in got]) / math.log(10)
-                tokens, known, base, full, rest = [], [], [], [], []
-                for (ids, others), m in zip(got, model_log.tolist()):
-                    k = ids[ids >= 0]
-                    tail = k[k >= voc.head]
-                    tokens.append(len(ids))
-                    known.append(len(k))
-                    base.append(float(logc[k].sum()) - base_all * len(ids))
-                    full.append(m + float((logc[tail] + rare[voc.shapes[tail]]).sum()) + float(rare[-1 - ids[ids < 0]].sum()))
-                    rest.append([(w.decode(), c) for w, c in others.items()])
+            for part in slices(batch, 2, TEXT):
+                got = encode(part.column(2), index)
+                rows = np.repeat(np.arange(part.num_rows), got.lengths)
+
+                def total(x: np.ndarray) -> np.ndarray:
+                    return np.bincount(rows, x, part.num_rows)
+
+                model_log = log_of(model, voc.inputs(got.ids), got.lengths) / math.log(10)
+                known = total(got.ids >= 0).astype(np.int64)
+                base = total(logc[got.ids]) - base_all * got.lengths
+                full = model_log + total(tail[got.ids])
+                rest = pa.StructArray.from_arrays([got.words.take(pa.array(got.which)), pa.array(got.times.astype(np.int64))], ["token", "times"])
+                edges = np.searchsorted(got.rows, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.record_batch(
-                    [part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()),
-                     pa.array([[{"token": w, "times": c} for w, c in r] for r in rest], pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))],
+                    [part.column(0), part.column(1), pa.array(got.lengths), pa.array(known), pa.array(base), pa.array(full), pa.ListArray.from_arrays(pa.array(edges), rest)],
                     ["row", "id", "n_tokens", "n_known", "base", "full", "rest"],
-                )
+                )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     done = staged(rows.mapInArrow(run, "row long, id long, n_tokens long, n_known long, base double, full double, rest array<struct<token:string,times:long>>"), "scored")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -323,7 +324,7 @@ def test_copies_are_dealt_to_all_trainers(spark):
     one = language_model.Network(vocabulary.classes, vocabulary.size)
     one.start(vocabulary)
     index = vocabulary.index()
-    seqs = [language_model._inputs(ids, vocabulary) for ids, _ in language_model._sequences([t.encode() for t in texts], index, vocabulary)]
+    seqs = language_model.sequences(pa.array(texts), index, vocabulary)
     language_model.train_stream(one, iter(seqs), int(seqs[0][-1]))
     assert np.abs(many.flat - one.flat).max() > 1e-3
 
