@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A comment, a declaration or a tag; in a tag a quote counts after an equals sign only.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,15 +41,24 @@ CLOSES = {
 }
 P_STOPS = frozenset("button table td th caption object html body".split())
 
-DROPPED = frozenset("nav aside form footer button select input textarea script style noscript iframe template dialog svg canvas object embed head title menu datalist math map video audio".split())
+DROPPED = frozenset("nav aside form footer button select input textarea script style noscript iframe template dialog svg canvas object embed head title menu datalist map video audio".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+#: Names of what isn't the article.
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies discuss "
-    "disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted "
-    "promotion recommended related reply replies respond rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
+    "ad ads advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "disqus footer gdpr login masthead menu modal nav navbar navigation navlinks newsletter notice notices notification pager pagination popup promo promoted "
+    "promotion recommended related reply replies respond share sharing shoutbox sidebar signup skip skiplink social sponsor sponsored subscribe subscription toolbar "
     "topbar widget widgets".split()
 )
+#: What such a name may be combined with and still mean the same.
+PARTS = frozenset(
+    "area aside bar block body bottom box buttons column container content div footer form global header inner item items left links list main menu mobile nav page panel "
+    "popup post primary right row secondary section site slot text thread top unit wrap wrapper".split()
+)
+#: Names in a compound that may stand for an article's own part: such an element goes only if it is made of links.
+LINKED = 0.5
 KEPT = frozenset("html body article main".split())
+ARTICLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCORED = frozenset("p pre td blockquote li dd figcaption div section article main h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -102,10 +112,19 @@ def parse(page: str) -> Node:
             if at < 0:
                 return root
             at += 1
-        elif tag not in VOID and not (m[3] or "").endswith("/"):
+        elif tag not in VOID and not (foreign(now) and (m[3] or "").endswith("/")):
             now = node
 
 
+def foreign(node: Node | None) -> bool:
+    """Whether a tag here closes itself by a final slash, as it does inside of formulas and drawings only."""
+    while node is not None and node.tag not in BLOCK:
+        if node.tag in ("math", "svg"):
+            return True
+        node = node.parent
+    return False
+
+
 def _closed(now: Node, tags: set[str], stops: frozenset[str] | set[str]) -> Node:
     node = now
     while node is not None and node.tag not in stops:
@@ -119,8 +138,50 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
-def unwanted(node: Node, inside: bool) -> bool:
-    """Whether an element can't be part of an article; ``inside`` tells that one has begun."""
+def named(names: str) -> tuple[bool, bool]:
+    """Whether one of an element's names says that it isn't the article, and whether one merely holds such a word.
+
+    The first takes a whole name: a word of the list, or several of which all
+    others say only where or what kind of a box it is (``site-footer``, but not
+    ``has-sidebar`` or ``related-work``).
+    """
+    surely = perhaps = False
+    for name in names.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        held = sum(w in DROPPED_WORDS for w in words)
+        perhaps |= held > 0
+        surely |= held > 0 and all(w in DROPPED_WORDS or w in PARTS for w in words)
+    return surely, perhaps
+
+
+def _contents(root: Node) -> dict[int, tuple[int, int, bool]]:
+    """For each element, by id: its text's length, that inside links, and whether the article lies in it."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        link = link or node.tag == "a"
+        order.append((node, link))
+        stack += [(c, link) for c in node.children if not isinstance(c, str)]
+    out: dict[int, tuple[int, int, bool]] = {}
+    for node, link in reversed(order):
+        size, linked, article = 0, 0, False
+        for c in node.children:
+            if not isinstance(c, str):
+                n, k, held = out[id(c)]
+                size, linked, article = size + n, linked + k, article or held or c.tag in ARTICLE
+            elif node.tag not in RAW:
+                n = len(c.strip())
+                size, linked = size + n, linked + n * link
+        out[id(node)] = size, linked, article
+    return out
+
+
+def unwanted(node: Node, inside: bool, contents: dict[int, tuple[int, int, bool]]) -> bool:
+    """Whether an element can't be part of an article; ``inside`` tells that one has begun.
+
+    A name drops an element unless the page's article or main part lies in it;
+    one that only holds a listed word drops it if it is made of links.
+    """
     tag = node.tag
     if tag in DROPPED or (tag == "header" and not inside):
         return True
@@ -133,13 +194,19 @@ def unwanted(node: Node, inside: bool) -> bool:
         return True
     if tag in KEPT:
         return False
-    words = {w.lower() for w in WORDS.findall(a.get("class", "") + " " + a.get("id", ""))}
-    return bool(words & DROPPED_WORDS) or ("header" in words and not inside)
+    names = a.get("class", "") + " " + a.get("id", "")
+    surely, perhaps = named(names)
+    size, linked, article = contents[id(node)]
+    if not inside and "header" in names.lower().split():
+        surely = True
+    if surely:
+        return inside or not article
+    return perhaps and linked >= LINKED * size
 
 
 def prune(root: Node) -> None:
     """Cut off unwanted elements; of a header inside an article only headings stay."""
-    stack = [(root, False, False)]
+    stack, contents = [(root, False, False)], _contents(root)
     while stack:
         node, inside, header = stack.pop()
         inside = inside or node.tag in ("article", "main")
@@ -148,7 +215,7 @@ def prune(root: Node) -> None:
             if isinstance(c, str):
                 if not header or node.tag in HEADINGS:
                     kept.append(c)
-            elif not unwanted(c, inside):
+            elif not unwanted(c, inside, contents):
                 kept.append(c)
                 stack.append((c, inside, (header or c.tag == "header") and c.tag not in HEADINGS))
         node.children = kept
@@ -216,9 +283,17 @@ def best_container(root: Node) -> list[Node]:
     if not holds:
         return []
     top = max(holds, key=lambda n: (final[id(n)], n.tag == "article"))
-    if final[id(top)] <= 0:
-        body = next((c for c in root.children if not isinstance(c, str) and c.tag == "body"), root)
-        return [body]
+    if final[id(top)] <= 0:  # no paragraph of some length: the lowest blocks whose text isn't mostly links
+        out, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            own = SPACE.sub(" ", measured[id(node)][0]).strip()
+            if not measured[id(node)][3] or own:
+                if measured[id(node)][1] and density(node) < LINKED:
+                    out.append(node)
+                continue
+            stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+        return out
     if top.parent is None or top.tag == "body":
         return [top]
     least = max(10.0, 0.2 * final[id(top)])
@@ -283,8 +358,12 @@ def _main_text(pages: pa.Array) -> pa.Array:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with ``out``, the main text of each whole page.
 
-    Null and empty pages, and pages without text, give an empty string. Rows
-    are independent, so repeated rows and null keys keep their own result; a
-    column already called ``out`` is replaced, all others pass through.
+    Null and empty pages, pages without text and pages of links only give an
+    empty string. Very long pages are read whole. Of containers with equal
+    points an article goes first, then the one that the search meets first,
+    which goes by the page's tree alone. Rows are independent, so
+    repeated rows and null keys keep their own result, and an empty table gives
+    an empty table; a column already called ``out`` is replaced, all others pass
+    through.
     """
     return pages.withColumn(out, _main_text(F.col(html_col)))

@@ -1,8 +1,10 @@
 """Vector search, pages, URL filters, the pipeline, and that the library stands without this subpackage."""
 
+import re
 import subprocess
 import sys
 from datetime import date
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -96,9 +98,68 @@ def test_small_pages(page, want):
     assert main_text(page) == want
 
 
+PROSE = "<p>" + "Some words, quite a lot of them, in a sentence that goes on. " * 4 + "</p>"
+WORDS = re.sub("</?p>", "", PROSE).strip()
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<body><div class="post has-sidebar">{PROSE}{PROSE}</div><div class="sidebar">{PROSE}</div></body>', [WORDS, WORDS]),
+        (f'<body><div class="share-container"><article>{PROSE}</article></div></body>', [WORDS]),
+        (f'<article><p class="byline">By A. Writer</p>{PROSE}</article>', ["By A. Writer", WORDS]),
+        (f'<article>{PROSE}<section id="related-work"><h2>Related work</h2>{PROSE}</section></article>', [WORDS, "Related work", WORDS]),
+        (f'<article>{PROSE}<div class="search-results">{PROSE}</div></article>', [WORDS, WORDS]),
+        (f'<article>{PROSE}<div class="related-stories"><a href=/1>One</a> <a href=/2>Two</a></div></article>', [WORDS]),
+        (f"<article>{PROSE}<p>Then <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> holds.</p></article>", [WORDS, "Then x=1 holds."]),
+        (f"<article><p title=don't>First, a paragraph.</p>{PROSE}</article>", ["First, a paragraph.", WORDS]),
+        (f"<article><p title='a>b' data-x=\"c>d\">First, a paragraph.</p>{PROSE}</article>", ["First, a paragraph.", WORDS]),
+        ("<body><ul>" + "".join(f"<li><a href=/{i}/>Link {i}</a></li>" for i in range(9)) + "</ul></body>", []),
+        (f"<body><div><p>See <a href=/x/>the page</a> for more, which is a long enough text.</p>{PROSE}</div></body>", ["See the page for more, which is a long enough text.", WORDS]),
+        (f'<article>{PROSE}<div class="comment-list">{PROSE}</div><div id="site-footer">{PROSE}</div></article>', [WORDS]),
+    ],
+)
+def test_names_drop_only_what_they_name(page, want):
+    assert main_text(page) == "\n\n".join(want)
+
+
+class Plain(HTMLParser):
+    """The blocks of the article element, for pages that have one and nothing else in it."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in html_text.BLOCK:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK:
+            self.blocks.append("")
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_equal_a_plain_reading(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for r in queries.op3_main_text(spark, sf_dir).collect():
+        plain = Plain()
+        plain.feed(pages[r.page_id])
+        assert r.text == "\n\n".join(b for b in (" ".join(x.split()) for x in plain.blocks) if b)
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20000 + "x" + "</div>" * 20000) == "x"
     assert len(main_text("<article>" + "<p>word, word</p>" * 20000)) == 20000 * 12 - 2
+    assert main_text('<div class="x-sidebar">' * 20000 + "x" + "</div>" * 20000) == "x"
 
 
 def test_pages_table(spark, sf_dir):
