@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
@@ -58,12 +58,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def linked_spans(text: str, base: list[tuple[str, int, int]], radius: int = 200, bits: float = 3.5) -> list[tuple[str, int, int]]:
-    """Weak parts with a complement within ``radius`` characters of the same scope.
-
-    A scope is a run of text without an empty line. A weak secret needs an
-    identifier (an access key counts), a weak identifier or an endpoint needs a
-    secret (an assignment, a hex string or a weak secret). Parts that overlap a
-    strong match are not repeated.
+    """Weak parts with complements within ``radius`` characters of the same scope.
+
+    A scope is a run of text without an empty line; no part spans one. A weak
+    secret needs an identifier (an access key counts), a weak identifier a
+    secret (an assignment, a hex string or a weak secret), an endpoint both.
+    Parts that overlap a strong match are not repeated, and a part is no
+    complement of one that it overlaps. The join looks up the nearest interval
+    on either side, so the work grows with the text's length times a logarithm.
     """
     low = text.lower()
     idents = [m.span() for m in IDENT.finditer(text)] if any(w in low for w in _IDENT_WORDS) and ("=" in text or ":" in text) else []
@@ -83,22 +85,21 @@ def linked_spans(text: str, base: list[tuple[str, int, int]], radius: int = 200,
 
     randoms, idents, ends = ([x for x in xs if free(*x)] for xs in (randoms, idents, ends))
 
-    def near(part: tuple[int, int], others: list[tuple[int, int]], starts: list[int]) -> bool:
-        s, e = part
-        scope = bisect_left(breaks, s)
-        i = bisect_left(starts, s - radius - max((b - a for a, b in others), default=0))
-        while i < len(others) and others[i][0] <= e + radius:
-            o = others[i]
-            if o[1] >= s - radius and (o[1] <= s or o[0] >= e) and bisect_left(breaks, o[0]) == scope:
-                return True
-            i += 1
-        return False
-
-    ids, secrets = sorted(idents + access), sorted(strong + randoms)
-    id_at, secret_at = [s for s, _ in ids], [s for s, _ in secrets]
-    found = [("secret", *x) for x in randoms if near(x, ids, id_at)]
-    found += [("identifier", *x) for x in idents if near(x, secrets, secret_at)]
-    found += [("endpoint", *x) for x in ends if near(x, secrets, secret_at) and near(x, ids, id_at)]
+    def joined(others: list[tuple[int, int]]):
+        """Whether a part has one of ``others`` near it: the last to end before it or the first to start after it."""
+        starts, stops = sorted(s for s, _ in others), sorted(e for _, e in others)
+
+        def near(s: int, e: int) -> bool:
+            scope, after, before = bisect_left(breaks, s), bisect_left(starts, e), bisect_right(stops, s) - 1
+            right = after < len(starts) and starts[after] <= e + radius and bisect_left(breaks, starts[after]) == scope
+            return right or (before >= 0 and stops[before] >= s - radius and bisect_left(breaks, stops[before] - 1) == scope)
+
+        return near
+
+    by_id, by_secret = joined(idents + access), joined(strong + randoms)
+    found = [("secret", *x) for x in randoms if by_id(*x)]
+    found += [("identifier", *x) for x in idents if by_secret(*x)]
+    found += [("endpoint", *x) for x in ends if by_secret(*x) and by_id(*x)]
     return found
 
 
@@ -118,8 +119,9 @@ def _scan(texts: pa.Array) -> pa.Array:
 def scan_secrets(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
     """``docs`` with ``out``, the spans found in each whole text.
 
-    Offsets are code points, the end exclusive. A null or empty text gives an
-    empty list. Rows are independent: repeated rows and null keys keep their
+    Offsets are code points, the end exclusive; spans are sorted by start, then
+    kind, then end. A null or empty text gives an empty list, and a very long one
+    is scanned whole, in time that grows like its length. Rows are independent: repeated rows and null keys keep their
     own result, an empty table gives an empty table, and a column that is
     already called ``out`` is replaced.
     """
