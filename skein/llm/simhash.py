@@ -6,7 +6,9 @@ into ``radius + 2`` bands, two fingerprints within the radius agree in at least
 two of them, so every pair of bands is a key. A bucket is compared bit-sliced:
 its bit planes are stored vertically, 64 fingerprints a word, the distances of
 one fingerprint to all others are updated by carry-save counters plane by
-plane, and blocks whose distances all exceed the radius are abandoned.
+plane, and blocks whose distances all exceed the radius are abandoned. Planes
+in which a whole bucket agrees, such as those of its key, are left out. Buckets
+of a few fingerprints are compared directly, many buckets at once.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from skein.llm._graph import components
 from skein.llm._store import staged
 
 SEED = 42
-#: Planes between two looks at which blocks are still within the radius.
+#: Planes between two looks at which blocks, words of 64 fingerprints, are still within the radius.
 LOOK = 8
-#: Words of 64 fingerprints that are compared, and abandoned, together.
-BLOCK = 16
+#: Fingerprints of a bucket that are compared one by one; more are compared bit-sliced.
+FEW = 16
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint_of(text: bytes | None, size: int = 3) -> int:
@@ -77,44 +80,53 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(fps: np.ndarray, planes: np.ndarray, probe: int, radius: int) -> np.ndarray:
+def _beyond(low: np.ndarray, high: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
+    """Which distances exceed the radius, a bit each."""
+    out = over
+    if radius < 3:
+        out = out | (high & low)
+    if radius < 2:
+        out = out | high
+    if radius < 1:
+        out = out | low
+    return out
+
+
+def within(fps: np.ndarray, planes: np.ndarray, probe: int, radius: int, bits: list[int] | None = None, abandoned: list[int] | None = None) -> np.ndarray:
     """Indexes into ``fps`` at ``radius`` or fewer bits from ``probe``.
 
     The counters hold a distance of up to 3 in two bit-sliced words and a third
     word that stays set once a distance is beyond; ``radius`` is at most 3.
+    Every few planes, blocks all of whose distances are beyond are abandoned;
+    their number is added to ``abandoned``. ``bits`` are the planes in which
+    fingerprints and probe may differ.
     """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     live = np.arange(planes.shape[1])
     low, high, over = (np.zeros(len(live), np.uint64) for _ in range(3))
-    for b in range(64):
+    if len(fps) % 64:
+        over[-1] = _FULL << np.uint64(len(fps) % 64)  # the last block's empty places
+    for step, b in enumerate(range(64) if bits is None else bits, 1):
         plane = planes[b] if len(live) == planes.shape[1] else planes[b, live]
         differs = ~plane if probe >> b & 1 else plane
         carry = low & differs
         low = low ^ differs
         over = over | (high & carry)
         high = high ^ carry
-        if b % LOOK == LOOK - 1 and len(live) > BLOCK:
-            done = over | (high & low if radius < 3 else np.uint64(0)) | (high if radius < 2 else np.uint64(0))
-            blocks = np.bitwise_and.reduceat(done, np.arange(0, len(live), BLOCK))
-            keep = np.repeat(blocks != full, BLOCK)[: len(live)]
+        if step % LOOK == 0:
+            keep = _beyond(low, high, over, radius) != _FULL
             if not keep.all():
+                if abandoned is not None:
+                    abandoned.append(len(keep) - int(keep.sum()))
                 live, low, high, over = live[keep], low[keep], high[keep], over[keep]
                 if not len(live):
                     break
-    beyond = over
-    if radius < 3:
-        beyond = beyond | (high & low)
-    if radius < 2:
-        beyond = beyond | high
-    if radius < 1:
-        beyond = beyond | low
-    hit = np.unpackbits((~beyond).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(len(live), 64)
+    near = ~_beyond(low, high, over, radius)
+    hit = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(len(live), 64)
     at, bit = np.nonzero(hit)
-    found = live[at] * 64 + bit
-    return found[found < len(fps)]
+    return live[at] * 64 + bit
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int, abandoned: list[int] | None = None) -> list[tuple[int, int]]:
     """Edges that span the components of a bucket, or of the links between two parts of it.
 
     Fingerprints already reached need no second edge, so a bucket of n
@@ -132,9 +144,11 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
     base = 0 if right is None else len(left)
     target = left if right is None else right
     planes = _planes(target)
+    varied = int(np.bitwise_or.reduce(pool) ^ np.bitwise_and.reduce(pool))
+    bits = [b for b in range(64) if varied >> b & 1]
     edges = []
     for i, fp in enumerate(left.tolist()):
-        for j in within(target, planes, fp, radius).tolist():
+        for j in within(target, planes, fp, radius, bits, abandoned).tolist():
             a, b = root(i), root(base + j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -154,45 +168,60 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _few(keys: list[np.ndarray], fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All near pairs of many small buckets at once: rows one place apart, two places and so on."""
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for d in range(1, FEW):
+        same = np.logical_and.reduce([k[d:] == k[:-d] for k in keys])
+        at = np.flatnonzero(same & ((side[d:] != side[:-d]) | (keys[2][d:] == keys[3][d:])))
+        at = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
+        a.append(fp[at])
+        b.append(fp[at + d])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _compare(radius: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by task, so one task's fingerprints are held at a time."""
-        key, held = None, []
-
-        def done() -> pa.RecordBatch | None:
-            fps, side = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            left, right = fps[side == 0], fps[side == 1]
-            if len(fps) < 2 or (key[2] != key[3] and not (len(left) and len(right))):
-                return None
-            edges = forest(left, right if key[2] != key[3] else None, radius)
-            if not edges:
-                return None
-            a, b = (np.array([e[i] for e in edges], np.uint64).view(np.int64) for i in (0, 1))
-            return pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+
+    def compared(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Edges of whole buckets: rows of (t, k, i, j, fp, side) sorted by the first four."""
+        *keys, fp, side = cols
+        fp = fp.view(np.uint64)
+        cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        starts = np.concatenate([[0], cut])
+        sizes = np.diff(np.concatenate([starts, [len(fp)]]))
+        few = np.repeat(sizes <= FEW, sizes)
+        yield edges(*_few([k[few] for k in keys], fp[few], side[few], radius))
+        for at, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            mine, own = fp[at : at + n], side[at : at + n]
+            left, right = mine[own == 0], mine[own == 1]
+            alone = keys[2][at] == keys[3][at]
+            if len(left) and (alone or len(right)):
+                found = forest(left, None if alone else right, radius)
+                yield edges(np.array([a for a, _ in found], np.uint64), np.array([b for _, b in found], np.uint64))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last bucket of a batch waits for the rest of it, so two parts' fingerprints are held at a time."""
+        held: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            t, k, i, j, fp, side = cols
-            if not len(t):
+            if not batch.num_rows:
                 continue
-            cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(k) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(t)]):
-                now = (t[a], k[a], i[a], j[a])
-                if now != key and held:
-                    if (out := done()) is not None:
-                        yield out
-                    held = []
-                key = now
-                held.append((fp[a:b].view(np.uint64), side[a:b]))
-        if held and (out := done()) is not None:
-            yield out
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            held = [np.concatenate(c) for c in zip(held, cols)] if held else cols
+            other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in held[:4]]))
+            if len(other):
+                yield from compared([c[: other[-1] + 1] for c in held])
+                held = [c[other[-1] + 1 :] for c in held]
+        if held:
+            yield from compared(held)
 
     return run
 
 
-def near_edges(fps: DataFrame, radius: int = 2, part: int = 512) -> DataFrame:
+def near_edges(fps: DataFrame, radius: int = 2, part: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all within ``radius`` bits.
 
     ``fps`` has the one column fp, distinct. Buckets of more than ``part``
