@@ -1,9 +1,12 @@
-"""Near copies by the words they share: MinHash candidates, exact similarity, components.
+"""Near copies by the words they share: the exact half of the near-duplicate stage.
 
 Two texts are near copies if the sets of their word shingles have a Jaccard
-similarity of ``least`` or more. Candidates agree in all minima of a band of
-MinHash minima; a pair at similarity 0.8 is missed by all bands with a chance
-of 3 in 100,000. Every candidate pair is checked by its exact similarity.
+similarity of ``least`` or more. Fingerprints of 64 bits can't tell such pairs
+from others at this distance, so candidates come from MinHash: of each text 80
+minima are kept, a byte of each as its sketch and 20 keys of 4 of them. Texts
+that share a key meet; their sketches, which a pair at 0.8 passes in all but 4
+of a million cases, leave few pairs, and each of those is checked by its exact
+similarity. A pair at 0.8 shares no key with a chance of 3 in 100,000.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm._graph import components
-from skein.llm._store import staged
+from skein.llm._store import release, staged
 from skein.llm._words import mixed, slices, word_hashes
 
 #: Bands, and minima in each.
 BANDS, ROWS = 20, 4
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 0x5EED) | np.uint64(1)
+_PAIR = "a long, b long"
 
 
 def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
@@ -40,21 +44,31 @@ def shingle_sets(texts: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
         yield np.unique(h)
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _minima(s: np.ndarray) -> np.ndarray:
+    """The minimum of each of the hash functions over a set, some elements at a time."""
+    out = np.full(len(_FACTORS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for i in range(0, len(s), 1024):
+        h = s[None, i : i + 1024] * _FACTORS[:, None]
+        h ^= h >> np.uint64(32)
+        np.minimum(out, h.min(axis=1), out=out)
+    return out
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
-            ids, keys = [], []
+            ids, sizes, sketches, keys = [], [], [], []
             for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1))):
                 if len(s):
-                    minima = np.array([(s * f ^ (s * f) >> np.uint64(32)).min() for f in _FACTORS], np.uint64).reshape(BANDS, ROWS)
+                    m = mixed(_minima(s))
                     h = np.zeros(BANDS, np.uint64)
                     for r in range(ROWS):
-                        h = mixed(h + minima[:, r], r + 1)
+                        h = mixed(h + m.reshape(BANDS, ROWS)[:, r], r + 1)
                     ids.append(i)
-                    keys.append(h)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            t = np.tile(np.arange(BANDS, dtype=np.int32), len(ids))
-            yield pa.record_batch([pa.array(np.repeat(np.array(ids, np.int64), BANDS)), pa.array(t), pa.array(flat)], ["id", "t", "k"])
+                    sizes.append(len(s))
+                    sketches.append(m.astype(np.uint8).tobytes())
+                    keys.append(h.view(np.int64))
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "sk", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,26 +78,107 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
 
-def candidate_pairs(bands: DataFrame, whole: int = 32) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, that share a band's key, and the rows of keys with more than ``whole`` ids.
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+
+
+def _likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of sketches may be near copies, and the bytes in which they agree.
 
-    All pairs of ``whole`` ids or fewer; of more, each with one leader, another
-    one in each band, so that a group's pairs don't grow with its square.
+    Sizes that differ too much rule out the similarity; the number of equal
+    bytes may fall short of its mean by four and a half deviations.
+    """
+    same = x == y
+    n = x.shape[1]
+    floor = least * n - 4.5 * (n * least * (1 - least)) ** 0.5
+    return (same.sum(axis=1) >= floor) & (np.minimum(nx, ny) >= least * np.maximum(nx, ny)), same
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that come sorted by their first ``keys`` columns, cut between keys only; the last column is the sketch."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if batch.num_rows:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)] + [_matrix(batch.column(batch.num_columns - 1))]
+            held = [np.concatenate(c) for c in zip(held, cols)] if held else cols
+            other = np.flatnonzero(np.any([c != c[-1] for c in held[:keys]], axis=0))
+            if len(other):
+                yield [c[: other[-1] + 1] for c in held]
+                held = [c[other[-1] + 1 :] for c in held]
+    if held:
+        yield held
+
+
+def _met(least: float):
+    """Likely pairs of rows (t, k, p, q, side, id, n, sk) of one key and parts p and q, which come sorted by those.
+
+    Rows of two parts meet those of the other side only. A pair that shares several bands is of the first one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, k, p, q, side, i, n, sk in _whole_keys(batches, 4):
+            for d in range(1, len(t)):
+                near = (t[d:] == t[:-d]) & (k[d:] == k[:-d]) & (p[d:] == p[:-d]) & (q[d:] == q[:-d])
+                if not near.any():  # nor are rows farther apart of one key
+                    break
+                at = np.flatnonzero(near & ((side[d:] != side[:-d]) | (p[d:] == q[d:])) & (i[d:] != i[:-d]))
+                ok, same = _likely(sk[at], sk[at + d], n[at], n[at + d], least)
+                at, same = at[ok], same[ok]
+                at = at[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == t[at]]
+                if len(at):
+                    yield _pairs(i[at], i[at + d])
+
+    return run
+
+
+def _led(least: float):
+    """Likely pairs of rows (id, n, sk) and their key's leader (lead, ln, lsk)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i, n, lead, ln = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 3, 4))
+            ok, _ = _likely(_matrix(batch.column(2)), _matrix(batch.column(5)), n, ln, least)
+            ok &= i != lead
+            yield _pairs(i[ok], lead[ok])
+
+    return run
+
+
+def likely_pairs(keys: DataFrame, sketches: DataFrame, least: float, whole: int, part: int, grid: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, that share a key and may be near copies, and the rows of keys whose pairs weren't all looked at.
+
+    ``keys`` has t, k and id, ``sketches`` id, n and sk. A key of ``whole`` ids
+    or fewer has all its pairs looked at. Of more, each id meets one leader,
+    another one in each band, so that a group's pairs don't grow with its
+    square; or, with ``grid``, all others, by parts of ``part`` ids, two of
+    which are a task's share.
     """
-    lead = F.min(F.struct(F.xxhash64("id", "t").alias("h"), "id"))["id"]
     # a small side is written, so that a popular key's rows can be split over tasks
-    met = staged(bands.groupBy("t", "k").agg(F.count("*").alias("n"), lead.alias("lead")).where("n > 1"), "met")
-    rows = bands.join(met, ["t", "k"])
-    few = staged(rows.where(F.col("n") <= whole).select("t", "k", "id"), "few")
-    other = few.select("t", "k", F.col("id").alias("b"))
-    every = few.withColumnRenamed("id", "a").join(other, ["t", "k"]).where("a < b").select("a", "b")
-    star = rows.where((F.col("n") > whole) & (F.col("id") != F.col("lead"))).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    return every.unionByName(star).distinct(), rows.where(F.col("n") > whole).select("id", "t", "k")
+    lead = F.min(F.struct(F.xxhash64("id", "t").alias("h"), "id"))["id"]
+    met = staged(keys.groupBy("t", "k").agg(F.count("*").alias("c"), lead.alias("lead")).where("c > 1"), "met")
+    rows = keys.join(met, ["t", "k"])
+    big = rows.where(F.col("c") > whole)
+    s = F.when(F.col("c") > whole, F.ceil(F.col("c") / part)).otherwise(1).cast("int")
+    parted = rows if grid else rows.where(F.col("c") <= whole)
+    parted = parted.withColumn("s", s).withColumn("at", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.struct(F.least("at", o).alias("p"), F.greatest("at", o).alias("q"), F.when(F.col("at") <= o, 0).otherwise(1).alias("side")))
+    dealt = parted.join(sketches, "id").select("t", "k", F.explode(both).alias("x"), "id", "n", "sk").select("t", "k", "x.p", "x.q", "x.side", "id", "n", "sk")
+    pairs = dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q").mapInArrow(_met(least), _PAIR)
+    if grid:
+        return pairs.distinct(), big.select("t", "k", "id").where("false")
+    leads = met.where(F.col("c") > whole).select("t", "k", "lead").join(sketches.select(F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("sk").alias("lsk")), "lead")
+    leads = staged(leads.dropDuplicates(["t", "k"]), "leads")
+    led = big.select("t", "k", "id").join(leads, ["t", "k"]).join(sketches, "id").select("id", "n", "sk", "lead", "ln", "lsk")
+    return pairs.unionByName(led.mapInArrow(_led(least), _PAIR)).distinct(), big.select("t", "k", "id")
 
 
 def near_edges(docs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
     """The pairs whose exact similarity is ``least`` or more; ``docs`` has id and text."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    named = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
     sets = staged(docs.join(named, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
@@ -91,24 +186,32 @@ def near_edges(docs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, max_rounds: int = 20) -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, whole: int = 32, part: int = 512, max_rounds: int = 20
+) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id.
 
-    While a key has too many ids for all their pairs to be compared and a round
-    still finds copies, what is left of such keys is compared again. Rows that repeat an id
-    are the same document; rows with a null id, and texts without words, stay.
+    A round links the pairs of ordinary keys and, in keys of very many ids,
+    those with a leader; what is left of the latter keys is compared again,
+    until a round finds nothing or ``max_rounds`` are over, and then in full. So no
+    two documents that stay are near copies that share a key. Rows that repeat
+    an id are the same document; rows with a null id, and texts without words
+    (null or empty), stay. Texts are compared whole at any length; an empty
+    table stays empty; other columns pass through, whatever their names.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    left = staged(rows.mapInArrow(_bands, "id long, t int, k long").distinct(), "bands")
-    gone = None
-    for _ in range(max_rounds):
-        pairs, crowded = candidate_pairs(left)
-        edges = near_edges(rows, staged(pairs, "pairs"), least)
+    made = staged(rows.mapInArrow(_sketched, "id long, n long, sk binary, keys array<long>"), "sketches")
+    sketches = made.select("id", "n", "sk")
+    left, gone, grid = made.select("id", F.posexplode("keys").alias("t", "k")), None, False
+    for r in range(max_rounds + 1):
+        pairs, crowded = likely_pairs(left, sketches, least, whole, part, grid)
+        pairs, crowded = staged(pairs, "pairs"), staged(crowded, "crowded")
+        edges = staged(near_edges(rows, pairs, least), "near")
         found = staged(components(edges).where(F.col("node") != F.col("root")).select("node"), "gone")
         gone = found if gone is None else gone.unionByName(found)
-        if not found.head(1):
-            break
-        left = staged(crowded.join(found, F.col("id") == F.col("node"), "left_anti"), "bands")  # all other keys are done
-        if not left.head(1):
+        release(docs.sparkSession)
+        if grid or not crowded.head(1):
             break
+        grid = r + 1 >= max_rounds or not found.head(1)
+        left = staged(crowded.join(found, F.col("id") == F.col("node"), "left_anti"), "left")  # all other keys are done
     return docs.join(gone, docs[id_col] == gone["node"], "left_anti")
