@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Odd factors of the rolling sums, which are taken modulo 2**64.
-BASE, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Bytes that are hashed at a time, which bounds the memory.
-SEGMENT = 1 << 20
+#: Odd factor of the rolling sums, which are taken modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -44,32 +42,28 @@ class Sums:
         return mixed((self.total[stop] - self.total[start]) * self.inverse[start])
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words in order, offsets of each text's) of UTF-8 texts, cut at ASCII white space. A null is an empty text."""
+    split = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+    words, counts = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not full.all():  # white space at a text's ends leaves an empty word there
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[full], minlength=len(counts))
+        words = words.filter(pa.array(full))
+    return words, np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word's bytes; a word that occurs often is hashed once."""
+    coded = words.dictionary_encode()
+    each = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return each[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else each
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, offsets of each text's words) of UTF-8 texts.
-
-    Words are cut at ASCII white space. A null is an empty text.
-    """
-    texts = texts.cast(pa.binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    at = offsets[:-1][offsets[:-1] < len(data)]
-    first[at] |= inside[at]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | first[1:]
-    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(stops, starts[i] + SEGMENT)))
-        lo, hi = starts[i], stops[j - 1]
-        sums = Sums(data[lo:hi].astype(np.uint64) + np.uint64(1), BASE)
-        out[i:j] = mixed(sums.runs(starts[i:j] - lo, stops[i:j] - lo), 0) ^ (stops[i:j] - starts[i:j]).astype(np.uint64)
-        i = j
-    return mixed(out), np.searchsorted(starts, offsets)
+    """(hash of each word, offsets of each text's words)."""
+    words, offsets = split_words(texts)
+    return hashes_of(words), offsets
 
 
 def least_of(x: np.ndarray, span: int) -> np.ndarray:

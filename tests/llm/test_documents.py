@@ -196,6 +196,36 @@ def test_index_takes_batches(spark):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_words_that_rolling_hashes_confuse(spark):
+    """Thue-Morse words of two letters: their polynomial hashes modulo 2**64 agree, the words don't."""
+    a, b = "ab", "ba"
+    while len(a) < 2048:
+        a, b = a + b, b + a
+    rows = [(1, " ".join([a] * 35)), (2, " ".join([b] * 35)), (3, " ".join([a] * 17 + [b] * 18)), (4, " ".join([a, b] * 40))]
+    got = substrings.remove_repeats(table(spark, rows), 35).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got), key=str) == without_repeats(rows, 35)
+
+
+def test_index_is_opened_again(spark, tmp_path):
+    rows = [(1, "a b c d e f"), (2, "q r s t u v"), (3, "x a b c d e"), (4, "q r s t u z"), (5, "m n o p q r")]
+    docs = table(spark, rows).withColumn("th", F.xxhash64("text"))
+    at = f"file://{tmp_path}/index"
+    first = substrings.FingerprintIndex(spark, at, window=5, gram=3, max_runs=1)
+    first.add(docs.where("doc_id <= 2"))
+    assert first.repeated(docs).count() == 0
+    later = substrings.FingerprintIndex(spark, at, window=5, gram=3, max_runs=1)
+    assert later.runs == first.runs
+    later.add(docs.where("doc_id = 3"))
+    assert len(later.runs) == 1
+    last = substrings.FingerprintIndex(spark, at, window=5, gram=3, max_runs=1)
+    last.add(docs.where("doc_id >= 4"))
+    found = lambda of: {r.doc_id for r in of.where("mask <> 0").collect()}
+    assert found(last.repeated(docs)) == {1, 2, 3, 4} and found(last.repeated(docs, last=1)) == {2, 4}
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex(spark, at, window=6, gram=3)
+    assert substrings.FingerprintIndex(spark, window=5, gram=3).repeated(docs).count() == 0
+
+
 # Toxicity
 
 
