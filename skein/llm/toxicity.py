@@ -11,10 +11,11 @@ text and mapped to 0..1 by a logistic curve.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm._store import staged
+
 #: Letters and signs folded to the Latin letter that they imitate.
 HOMOGLYPHS = {
     "а": "a", "α": "a", "в": "b", "β": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ε": "e", "һ": "h", "і": "i", "ι": "i",
@@ -75,7 +78,11 @@ class Lexicon:
         return self._auto
 
     def measure(self, text: str | None) -> tuple[float, float, int]:
-        """(sum of the weights of the entries found, the largest of them, number of words); an entry found again adds a tenth."""
+        """(sum of the weights of the entries found, the largest of them, number of words); an entry found again adds a tenth.
+
+        Of entries that overlap the first counts, of those that start alike the
+        heaviest. An entry inside an exception phrase doesn't count.
+        """
         if not text:
             return 0.0, 0.0, 0
         t = fold(text)
@@ -90,8 +97,11 @@ class Lexicon:
                 continue
             (exempt if w is None else found).append((start, stop, w))
         total, most, at, seen = 0.0, 0.0, -1, set()
+        exempt.sort()
+        opens, reach = [a for a, _, _ in exempt], list(accumulate((b for _, b, _ in exempt), max))  # how far the phrases up to each one go
         for start, stop, w in sorted(found, key=lambda x: (x[0], -x[2])):
-            if start >= at and not any(a <= start and stop <= b for a, b, _ in exempt):
+            before = bisect_right(opens, start)
+            if start >= at and not (before and reach[before - 1] >= stop):
                 total, most, at = total + (w if t[start:stop] not in seen else w / 10), max(most, w), stop
                 seen.add(t[start:stop])
         return total, most, n
@@ -116,16 +126,23 @@ class Lexicon:
         self.curve = tuple(float(v) for v in w)
 
 
+def _sure(n: float) -> float:
+    """Few toxic documents are weak evidence, so their number counts less its spread."""
+    return max(0.0, n - 1.5 * math.sqrt(n))
+
+
+def weight_of(t: float, c: float, toxic: int, clean: int) -> float:
+    """The logarithm of how much likelier an entry is in a toxic document, from the numbers of documents of each kind."""
+    return math.log((_sure(t) + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+
+
 def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, least: float = 1.5) -> dict[str, float]:
     """Entries and weights from (entry, toxic documents, clean documents) counts.
 
-    A weight is the logarithm of how much likelier the entry is in a toxic
-    document. An entry that a chosen shorter stem covers is left out, unless
-    it weighs more by a half.
+    An entry that a chosen shorter stem covers is left out, unless it weighs
+    more by a half.
     """
-    # few toxic documents are weak evidence, so their number counts less its spread
-    sure = lambda n: max(0.0, n - 1.5 * math.sqrt(n))
-    weigh = {e: math.log((sure(t) + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for e, t, c in rows}
+    weigh = {e: weight_of(t, c, toxic, clean) for e, t, c in rows}
     count = {e: t for e, t, _ in rows}
     names = sorted(count)
     out: dict[str, float] = {}
@@ -148,44 +165,67 @@ def choose(rows: list[tuple[str, int, int]], toxic: int, clean: int, least: floa
     return {n: weigh[n] for n in map(narrow, out)}
 
 
-def fit_lexicon(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, support: int = 4, least: float = 1.5, max_entries: int = 20_000
-) -> Lexicon:
-    """A lexicon from labelled documents.
+def phrases_of(lexicon: Lexicon, text: str) -> set[str]:
+    """The pairs of words, folded and one space apart, of which one is an entry of the lexicon."""
+    words = fold(text).split()
+    known = [any(e in lexicon.weights for e in (w, *(w[:n] + "*" for n in STEMS if len(w) > n))) for w in words]
+    return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], known, known[1:]) if x != y}
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and toxic; the caller leaves
-    out what must not be learnt from. At most ``max_rows`` labelled documents
-    are used, those with the smallest hash of the id. Two thirds of them, copies
-    (by their lowest shingle hash) counted once, give the entries (at least ``support`` toxic documents
-    and a weight of ``least``, the ``max_entries`` best supported); the rest
-    fits the curve. A document labelled twice counts as toxic if one label says
-    so; null ids and labels are left out. Without both classes the lexicon is
-    empty and every score is the curve's start.
-    """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    some = some.select("doc_id", "toxic", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)) == 0).alias("held"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # max_rows rows at most
-    words = F.split("text", r"[\x20\x09-\x0D]+")
-    lowest = F.transform(F.array(words), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3)))))
-    first = rows.where("not held").groupBy(lowest[0].alias("h")).agg(F.min_by("text", "doc_id").alias("text"), F.max("toxic").alias("toxic"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tally(of: Callable[[str], set[str]]):
+    """(entry, toxic documents, clean documents) of a partition's texts; the empty entry counts the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tally[int(toxic == 1)].update(entries_of(text))
+                tally[int(toxic == 1)].update(of(text))
                 tally[int(toxic == 1)][""] += 1
         keys = list(tally[0].keys() | tally[1].keys())
         yield pa.record_batch([pa.array(keys, pa.string()), *(pa.array([tally[c][k] for k in keys], pa.int64()) for c in (1, 0))], ["entry", "t", "c"])
 
-    counts = first.select("text", F.col("toxic").cast("long")).mapInArrow(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    got = counts.where((F.col("t") >= support) | (F.col("entry") == "")).where((F.col("entry") == "") | (F.col("t") > F.col("c"))).orderBy(F.col("t").desc(), "entry").limit(max_entries + 1).collect()
-    totals = next(((r.t, r.c) for r in got if r.entry == ""), (0, 0))
-    if not all(totals):
-        totals = next(((r.t, r.c) for r in counts.where("entry = ''").collect()), (0, 0))
-    lexicon = Lexicon(choose([(r.entry, r.t, r.c) for r in got if r.entry], *totals, least) if all(totals) else {})
-    held = rows.where("held").select("text", "toxic").mapInArrow(_measured(lexicon), "total double, most double, n long, toxic long").toPandas()
+    return run
+
+
+def _counted(rows: DataFrame, of: Callable[[str], set[str]]) -> DataFrame:
+    counted = rows.select("text", F.col("toxic").cast("long")).mapInArrow(_tally(of), "entry string, t long, c long")
+    return counted.groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 24_000, support: int = 4, least: float = 1.5) -> Lexicon:
+    """A lexicon from labelled documents.
+
+    ``docs`` has doc_id and text, ``labels`` doc_id and toxic; the caller leaves
+    out what must not be learnt from. At most ``max_rows`` labelled documents
+    are used, those with the smallest hash of the id; rows that repeat an id
+    give one document, the text that sorts first. Two thirds of them, equal
+    texts counted once, give the entries: all that ``support`` toxic documents
+    hold with a weight of ``least`` or more. Pairs of an entry and another word
+    that ``support`` clean documents hold and no toxic one become exceptions,
+    beside the given ones. The other third fits the curve. A document labelled
+    twice counts as toxic if one label says so, as does a text that repeats;
+    null ids and labels are left out, null texts are empty ones. Without both classes,
+    an empty table included, the lexicon is empty and every score is the
+    curve's start. Texts are read whole; other columns aren't read.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    some = some.select("doc_id", "toxic", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(3)) == 0).alias("held"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # max_rows rows at most
+    rows = staged(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("held").alias("held")), "labelled")
+    first = rows.where("not held").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    counts = staged(_counted(first, entries_of), "entries")
+    toxic, clean = next(((r.t, r.c) for r in counts.where("entry = ''").collect()), (0, 0))
+    lexicon = Lexicon({})
+    if toxic and clean:
+        sure = F.greatest(F.lit(0.0), F.col("t") - 1.5 * F.sqrt("t"))
+        weight = F.log((sure + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+        # as many as max_rows documents can support; stems that only narrow others count, whatever they weigh
+        got = counts.where((F.col("t") >= support) & (F.col("entry") != "") & (weight >= least - 1e-9)).collect()
+        lexicon = Lexicon(choose([(r.entry, r.t, r.c) for r in got], toxic, clean, least))
+        harmless = _counted(first, lambda text: phrases_of(lexicon, text)).where((F.col("c") >= support) & (F.col("t") == 0) & (F.col("entry") != ""))
+        lexicon.exceptions = (*lexicon.exceptions, *sorted(r.entry for r in harmless.collect()))
+    held = rows.where("held").select("text", "toxic").mapInArrow(_measured(lexicon), "total double, most double, n long, toxic long").toPandas()  # a third of max_rows rows
     if held["toxic"].nunique() > 1:
         lexicon.fit_curve(held["total"].to_numpy(), held["most"].to_numpy(), held["n"].to_numpy(), (held["toxic"] == 1).to_numpy().astype(float))
     return lexicon
@@ -204,9 +244,10 @@ def _measured(lexicon: Lexicon):
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with ``out``, a score from 0 to 1 of each whole text.
 
-    Null and empty texts score as texts without a match. Each row is scored by
-    itself: repeated rows get the same score, and other columns pass through (a
-    column already called ``out`` is replaced).
+    Null and empty texts score as texts without a match; very long ones are read
+    whole. Each row is scored by itself: repeated rows get the same score, an
+    empty table gives an empty table, and other columns pass through (a column
+    already called ``out`` is replaced).
     """
 
     @F.arrow_udf(T.DoubleType())

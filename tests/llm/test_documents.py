@@ -246,6 +246,54 @@ def test_toxicity_folding():
     assert s[0] < s[2] < s[1]
 
 
+def measured_by_hand(lexicon, text):
+    """The definition: every entry at every place of the folded text, then from left to right."""
+    t = toxicity.fold(text)
+    cases = [(e.rstrip("*"), w, e.endswith("*")) for e, w in lexicon.weights.items()] + [(toxicity.fold(e), None, False) for e in lexicon.exceptions]
+    found, exempt = [], []
+    for e, w, stem in cases:
+        for i in range(len(t)):
+            j = i + len(e)
+            if t[i:j] == e and not (i and t[i - 1].isalpha()) and (stem or j >= len(t) or not t[j].isalpha()):
+                (exempt if w is None else found).append((i, j, w))
+    total = most = 0.0
+    at, seen = -1, set()
+    for i, j, w in sorted(found, key=lambda x: (x[0], -x[2])):
+        if i >= at and not any(a <= i and j <= b for a, b, _ in exempt):
+            total += w / 10 if t[i:j] in seen else w
+            most, at = max(most, w), j
+            seen.add(t[i:j])
+    return total, most, len(t.split())
+
+
+def test_measure_equals_the_definition():
+    rnd = random.Random(5)
+    lex = toxicity.Lexicon({"idiot": 5.0, "id*": 1.25, "sc*": 2.0, "scum": 3.5, "clown": 4.0, "car": 0.5}, exceptions=("clown car", "class clown", "scum of", "car wash"))
+    bits = ["idiot", "1d10t", "ideal", "scum", "scam", "of", "class", "clown", "car", "wash", "x", "іdіоt", "scum,", "clown-car", "CAR"]
+    for _ in range(500):
+        text = rnd.choice([" ", "  ", ". "]).join(rnd.choice(bits) for _ in range(rnd.randint(0, 14)))
+        assert lex.measure(text) == pytest.approx(measured_by_hand(lex, text))
+
+
+def test_measure_of_very_long_texts_is_linear():
+    lex = toxicity.Lexicon({"trash": 2.0, "clown": 4.0})
+
+    def took(n):
+        began = time.perf_counter()
+        assert lex.measure("trash can and clown car and clown then " * n)[1] == 4.0
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(16000) < 4 * took(8000)
+
+
+def test_harmless_phrases_are_learnt(spark):
+    docs = [(i, f"you rotten person number{i} go") for i in range(30)] + [(100 + i, f"a quiet day{i}" if i % 12 else f"the rotten apple of day{i} fell") for i in range(300)]
+    lex = toxicity.fit_lexicon(table(spark, docs + docs[:3]), spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, toxic int"))
+    assert lex.weights and "rotten apple" in lex.exceptions and "rotten person" not in lex.exceptions
+    assert lex.measure("a rotten apple")[0] == 0
+
+
 def test_lexicon_prefers_narrow_stems():
     rows = [("tra*", 40, 0), ("tras*", 40, 0), ("trash", 40, 0), ("low*", 30, 1), ("lowe*", 30, 0), ("loweia", 3, 0), ("the", 50, 400)]
     assert set(toxicity.choose(rows, 60, 500)) == {"trash", "lowe*"}
