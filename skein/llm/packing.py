@@ -116,7 +116,7 @@ def _tokenize(path: str, ranks: str | None, end_id: int, dims: int, bits: int):
     side = (1 << bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, ranks)
+        coder, row = encoder(path, ranks), TaskContext.get().partitionId() << 40
         signs = projection(coder.size, dims)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -127,7 +127,9 @@ def _tokenize(path: str, ranks: str | None, end_id: int, dims: int, bits: int):
                     v = signs[ids].sum(axis=0) / max(1.0, np.sqrt(len(ids)))
                     points[i] = np.clip((np.arctan(v / 4) / np.pi + 0.5) * side, 0, side)
                     blobs.append(np.append(ids, end_id).astype(_width(coder.size)).tobytes())
-                yield pa.record_batch([part.column(0), pa.array(hilbert(points.astype(np.int64), bits)), pa.array(blobs, pa.binary())], ["doc_id", "hkey", "ids"])
+                keys, rows = pa.array(hilbert(points.astype(np.int64), bits)), pa.array(range(row, row + part.num_rows), pa.int64())
+                row += part.num_rows
+                yield pa.record_batch([part.column(0), keys, rows, pa.array([len(b) for b in blobs], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "hkey", "row", "bytes", "ids"])
 
     return run
 
@@ -193,7 +195,7 @@ def _pack(path: str, ranks: str | None, size: int, with_ids: bool):
 
 def pack(
     docs: DataFrame, size: int = 1024, path: str | None = None, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 0, dims: int = 4, bits: int = 10, with_ids: bool = False,
+    end_id: int = 0, dims: int = 4, bits: int = 10, with_ids: bool = False, part_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``size`` tokens.
 
@@ -201,13 +203,17 @@ def pack(
     as empty, so it is that one id. Documents follow each other along the
     curve; a sequence is filled to ``size`` and cuts a document where it must.
     Only the last tokens of a range-sorted partition are cut to powers of two,
-    which need no padding either. Repeated rows and equal keys are separate documents, a null id
-    stays null. Returns doc_id, start, length, ids_crc32, doc_tokens,
+    which need no padding either. Partitions hold about ``part_bytes`` of ids, so
+    their number grows with the documents. Repeated rows, equal keys and null ids
+    are separate documents, kept apart by their place in the first table, so
+    none of them makes a partition large; a null id stays null. Texts are read whole at
+    any length; an empty table gives an empty one; other columns aren't read. Returns doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset, and with ``with_ids`` the ids as bytes.
     """
     if path is None:
         path, ranks = public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = staged(rows.mapInArrow(_tokenize(path, ranks, end_id, dims, bits), "doc_id long, hkey long, ids binary"), "tokens")
-    along = tokens.repartitionByRange("hkey", "doc_id").sortWithinPartitions("hkey", "doc_id").select("doc_id", "ids")
+    tokens = staged(rows.mapInArrow(_tokenize(path, ranks, end_id, dims, bits), "doc_id long, hkey long, row long, bytes long, ids binary"), "tokens")
+    parts = max(1, -(-(tokens.agg(F.sum("bytes")).first()[0] or 0) // part_bytes))
+    along = tokens.repartitionByRange(parts, "hkey", "doc_id", "row").sortWithinPartitions("hkey", "doc_id", "row").select("doc_id", "ids")
     return along.mapInArrow(_pack(path, ranks, size, with_ids), PIECE + (", ids binary" if with_ids else ""))

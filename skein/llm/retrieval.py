@@ -183,8 +183,9 @@ def top_k(
     all rows with another id; ties go to the smaller id. Vectors that are null
     or hold a null or non-finite component, and rows with a null id, take no
     part. Of rows that repeat an id the smallest vector counts. A vector shorter
-    than others is padded by zeros, an empty one is all zeros. Other columns of
-    ``vectors`` are not read.
+    than others is padded by zeros, an empty one is all zeros. Components so large
+    that a product could pass a long's range are an error, which names them. An
+    empty table gives an empty one. Other columns of ``vectors`` are not read.
 
     Buckets and blocks of queries meet in a grid: a pair is one row that holds
     at most ``bucket`` vectors and ``block`` queries. A pass over the longest
@@ -193,13 +194,17 @@ def top_k(
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
     rows = staged(clean.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    far = F.array_max(F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)"))))
+    dims, count, largest = rows.agg(F.max(F.size("v")), F.count("*"), F.max(far)).first()
+    dims, parts = dims or 0, max(1, -(-count // (16 * bucket)))
+    if dims * int(largest or 0) ** 2 >= 1 << 63:
+        raise ValueError(f"{dims} components of up to {largest} can have a product beyond a long")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    along = rows.withColumn("norm", norm).repartitionByRange(F.col("norm").desc(), F.col("id")).sortWithinPartitions(F.col("norm").desc(), "id")
+    along = rows.withColumn("norm", norm).repartitionByRange(parts, F.col("norm").desc(), F.col("id")).sortWithinPartitions(F.col("norm").desc(), "id")
     buckets = staged(along.select("id", "v").mapInArrow(_blocks(bucket, dims), BLOCK), "buckets")
     # blocks by length too: queries of like length have bounds and limits alike
     asked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id").withColumn("norm", norm)
-    asked = asked.repartitionByRange(F.col("norm").desc(), F.col("id")).sortWithinPartitions(F.col("norm").desc(), "id")
+    asked = asked.repartitionByRange(parts, F.col("norm").desc(), F.col("id")).sortWithinPartitions(F.col("norm").desc(), "id")
     queries = staged(asked.select("id", "v").mapInArrow(_blocks(block, dims), BLOCK), "queries").selectExpr("block as q_block", "longest as q_longest", "ids as q_ids", "vectors as q_vectors")
     # the longest vectors, a bucket's worth of them, give each query its bound
     longest = buckets.select("block", "rows").orderBy("block").limit(bucket).collect()  # numbers of at most a bucket's rows
@@ -215,7 +220,8 @@ def top_k(
     bounds = start.groupBy("query_id").agg(kth.alias("x")).where(F.col("x.rank") == k).select("query_id", F.col("x.score").alias("low"), F.col("x.vec_id").alias("upto"))
     queries = staged(_bounded(queries, bounds), "bounded")
     # the grid: each block of queries goes to every lane, each bucket lies in one
-    lanes = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = buckets.where(F.col("block") > last).select("block").distinct().count()
+    lanes = max(1, min(rest, int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
     spread = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     # queries are the streamed side, so that the pairs of a block of them come together

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Days of a slot; an interval is listed under each slot that it touches.
+#: Days of a slot.
 SLOT = 30
 
 
@@ -62,23 +62,19 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", date
     date; of equal keys block precedes allow, then the smaller list name, then
     the earlier interval. Without one, or without a date or a host, it is
     ``none`` and the other three are null. Repeated captures are rows of their
-    own. The join is by key and by slots of the calendar, so a popular key's
-    captures and intervals are spread over the slots.
+    own; an empty table gives an empty one. URLs of any length are read whole. The join is by key and by slots of
+    the calendar, so a popular key's captures and intervals are spread over the
+    slots; an interval is listed under those slots only in which captures lie.
     """
-    span = captures.agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi")).first()
-    slot = F.floor(F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")) / SLOT).cast("int")
-    rows = captures.select(F.monotonically_increasing_id().alias("row"), *carry, F.col(url_col), F.col(date_col)).withColumn("slot", slot)
-    keyed = rows.select("row", *carry, url_col, date_col, "slot", F.explode_outer(covering_keys(host_of(F.col(url_col)), path_of(F.col(url_col)))).alias("key"))
-    listed = intervals(entries)
-    if span.lo is None:
-        listed = listed.where(F.lit(False))
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(span.hi)), F.lit(span.hi))
-    since = F.greatest(F.col("valid_from"), F.lit(span.lo))
     day = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / SLOT).cast("int")
-    spread = (
-        listed.withColumn("since", since).withColumn("until", until).where("since <= until")
-        .select(F.col("key").alias("k"), "list_name", "verdict", "valid_from", "valid_to", F.explode(F.sequence(day(F.col("since")), day(F.col("until")))).alias("s"))
-    )
+    rows = captures.select(F.monotonically_increasing_id().alias("row"), *carry, F.col(url_col), F.col(date_col)).withColumn("slot", day(F.col(date_col)))
+    keyed = rows.select("row", *carry, url_col, date_col, "slot", F.explode_outer(covering_keys(host_of(F.col(url_col)), path_of(F.col(url_col)))).alias("key"))
+    # the slots that captures lie in: a date has at most 121,747 of them, the years 1 to 9999
+    used = sorted(r.slot for r in captures.select(day(F.col(date_col)).alias("slot")).where("slot is not null").distinct().collect())
+    listed = intervals(entries).where(F.lit(bool(used)))
+    until = F.coalesce(day(F.date_sub("valid_to", 1)), F.lit(used[-1] if used else 0))
+    slots = F.filter(F.lit(used or [0]).cast("array<int>"), lambda s: (s >= F.col("since")) & (s <= F.col("until")))
+    spread = listed.withColumn("since", day(F.col("valid_from"))).withColumn("until", until).select(F.col("key").alias("k"), "list_name", "verdict", "valid_from", "valid_to", F.explode(slots).alias("s"))
     active = (F.col("key") == F.col("k")) & (F.col("slot") == F.col("s")) & (F.col("valid_from") <= F.col(date_col)) & (F.col("valid_to").isNull() | (F.col(date_col) < F.col("valid_to")))
     met = keyed.join(spread, active, "left")
     rank = F.struct(

@@ -198,6 +198,22 @@ def test_url_filters(spark):
     assert {r.verdict for r in url_filter.evaluate(captures, entries.limit(0)).collect()} == {"none"}
 
 
+def test_a_far_off_date_adds_one_slot(spark):
+    entries = spark.createDataFrame([("a.org", "x", "block", "add", date(2024, 1, 1))], "key string, list_name string, verdict string, action string, dated date")
+    rows = [("http://a.org/", date(2024, 2, 1)), ("http://a.org/", date(9999, 12, 31)), ("http://a.org/", date(1, 1, 1))]
+    got = url_filter.evaluate(spark.createDataFrame(rows, "url string, fetched_on date"), entries)
+    assert sorted((r.fetched_on.year, r.verdict) for r in got.collect()) == [(1, "none"), (2024, "block"), (9999, "block")]
+    assert url_filter.evaluate(spark.createDataFrame([("http://a.org/", None)], "url string, fetched_on date"), entries).first().verdict == "none"
+
+
+def test_products_beyond_a_long_are_an_error(spark):
+    v = spark.createDataFrame([(1, [1e300, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        retrieval.top_k(v, F.lit(True))
+    v = spark.createDataFrame([(1, [2.0**24, 1.0]), (2, [2.0**24, 2.0])], "vec_id long, embedding array<double>")
+    assert [r.score for r in retrieval.top_k(v, F.lit(True)).orderBy("query_id").collect()] == [2**60 + 64 * 128] * 2
+
+
 def test_native_operators_have_no_python(spark, sf_dir):
     for q in (queries.op4_decontamination, queries.op7_url_filters):
         plan = q(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
