@@ -101,6 +101,11 @@ def lease(candidates: DataFrame, now: datetime, batch: int | None = 50, min_scor
     )
 
 
+def by_message_id(candidates: DataFrame, ids: DataFrame) -> DataFrame:
+    """The candidates of some messages; ``ids`` has message_id."""
+    return candidates.join(ids.select("message_id").distinct(), "message_id", "left_semi")
+
+
 def set_status(candidates: DataFrame, message_id: str, status: str, now: datetime) -> DataFrame:
     """One candidate's new status; entering work starts its time and counts an attempt, any other clears the time."""
     on = F.col("message_id") == message_id
@@ -116,3 +121,8 @@ def set_status(candidates: DataFrame, message_id: str, status: str, now: datetim
 def gate(spent: float, budget: float) -> str:
     """What a day's spending allows: ``stop``, ``best`` (less than a fifth is left) or ``all``."""
     return "stop" if spent >= budget else "best" if budget - spent < budget * 0.2 else "all"
+
+
+def call_allowed(spent: float, budget: float, cached: bool, first: bool) -> bool:
+    """Whether a prompt may be sent: only a candidate's first one that isn't cached is checked against the day's budget."""
+    return cached or not first or gate(spent, budget) != "stop"

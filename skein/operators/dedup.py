@@ -41,43 +41,47 @@ _ARRAYS = [f.name for f in SCHEMA if isinstance(f.dataType, T.ArrayType)]
 _TIMES = ("actual_start", "actual_end", "planned_start", "planned_end")
 
 
-def matching_pairs(events: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY) -> DataFrame:
-    """(left_id, right_id, similarity): pairs that the rule would merge, left before right by id.
+def _keyed(events: DataFrame, mark: str) -> DataFrame:
+    """A row for each identifier or link of an event, its columns marked."""
+    shared = F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("anchors", "links")]))
+    rows = events.select("event_id", "message_id", "source_id", F.unix_micros(E.event_time().cast("timestamp")).alias("t"), E.title().alias("title"), F.explode(shared).alias("key"))
+    return rows.select(*[F.col(c).alias(f"{mark}_{c}") for c in rows.columns])
+
+
+def _met(left: DataFrame, right: DataFrame, hours: int) -> DataFrame:
+    """Pairs of marked rows that share a key and source and, where both have a time, lie within ``hours``.
 
-    Pairs come from equal identifiers or links within a source and, where both
-    events have a time, from neighbouring slots of the time window, so that a
-    popular identifier isn't compared over all time.
+    Rows with a time meet in neighbouring slots of the window, so that a popular
+    identifier isn't compared over all time.
     """
     micros = hours * 3_600_000_000
-    t = F.unix_micros(E.event_time().cast("timestamp"))
-    keyed = events.select(
-        "event_id", "message_id", "source_id", t.alias("t"), E.title().alias("title"),
-        F.explode(F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("anchors", "links")]))).alias("key"),
-    )
-    slot = F.floor(F.col("t") / micros)
-    timed = keyed.where("t is not null").withColumn("slot", slot)
-    around = timed.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    untimed = keyed.where("t is null")
-
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{mark}_{c}") for c in df.columns])
-
-    def pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-        left, right = side(a, "l"), side(b, "r")
-        cond = F.lit(True)
-        for c in on:
-            cond = cond & (left[f"l_{c}"] == right[f"r_{c}"])
-        cond = cond & (F.col("l_event_id") != F.col("r_event_id")) & (F.col("l_message_id") != F.col("r_message_id"))
-        return left.join(right, cond).select(*[f"{m}_{c}" for m in "lr" for c in ("event_id", "t", "title")])
-
-    met = pairs(timed, around, ["source_id", "key", "slot"]).unionByName(pairs(untimed, keyed, ["source_id", "key"]))
-    near = F.col("l_t").isNull() | F.col("r_t").isNull() | (F.abs(F.col("l_t") - F.col("r_t")) <= micros)
-    small, big = F.least("l_event_id", "r_event_id"), F.greatest("l_event_id", "r_event_id")
-    first = F.col("l_event_id") < F.col("r_event_id")
-    once = met.where(near).select(
-        small.alias("left_id"), big.alias("right_id"), F.when(first, F.col("l_title")).otherwise(F.col("r_title")).alias("a"), F.when(first, F.col("r_title")).otherwise(F.col("l_title")).alias("b")
-    ).dropDuplicates(["left_id", "right_id"])
-    return once.withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least).select("left_id", "right_id", "similarity")
+    same = (F.col("l_source_id") == F.col("r_source_id")) & (F.col("l_key") == F.col("r_key")) & (F.col("l_event_id") != F.col("r_event_id")) & (F.col("l_message_id") != F.col("r_message_id"))
+    slot = lambda c: F.floor(F.col(c) / micros)
+    timed = left.where("l_t is not null").withColumn("l_slot", slot("l_t"))
+    around = right.where("r_t is not null").withColumn("r_slot", F.explode(F.array(slot("r_t") - 1, slot("r_t"), slot("r_t") + 1)))
+    near = timed.join(around, same & (F.col("l_slot") == F.col("r_slot"))).where(F.abs(F.col("l_t") - F.col("r_t")) <= micros).drop("l_slot", "r_slot")
+    return near.unionByName(left.where("l_t is null").join(right, same)).unionByName(left.where("l_t is not null").join(right.where("r_t is null"), same))
+
+
+def _alike(met: DataFrame, least: float) -> DataFrame:
+    """Each pair (left_id, right_id) of ``met`` once, with the similarity of its titles, if that is ``least`` or more.
+
+    Each pair of titles is compared once, however many events bear them.
+    """
+    once = met.select(F.col("l_event_id").alias("left_id"), F.col("r_event_id").alias("right_id"), F.col("l_title").alias("a"), F.col("r_title").alias("b")).dropDuplicates(["left_id", "right_id"])
+    titles = once.select("a", "b").distinct().withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
+    return once.join(titles, ["a", "b"]).select("left_id", "right_id", "similarity")
+
+
+def matching_pairs(events: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY) -> DataFrame:
+    """(left_id, right_id, similarity): pairs that the rule would merge, left before right by id."""
+    met = _met(_keyed(events, "l"), _keyed(events, "r"), hours)
+    return _alike(met.where("l_event_id < r_event_id"), least)
+
+
+def matching_stored(new: DataFrame, stored: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY) -> DataFrame:
+    """(new_id, stored_id, similarity): all stored events that each new one matches."""
+    return _alike(_met(_keyed(new, "l"), _keyed(stored, "r"), hours), least).withColumnsRenamed({"left_id": "new_id", "right_id": "stored_id"})
 
 
 def _tokens(events: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[Co
     return target.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def backfill(target: DataFrame, older: DataFrame, keys: list[str]) -> DataFrame:
+    """``target`` with the rows of an older table whose keys it lacks; those that it has stay as they are."""
+    return target.unionByName(older.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
 # Watermarks
 
 
@@ -115,11 +120,15 @@ def _cleared(calls: DataFrame, on: Column) -> DataFrame:
 
 
 def attach_reply(calls: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies (prompt_hash, reply) stored with the newest call of each prompt."""
-    w = Window.partitionBy("prompt_hash").orderBy(F.col("ts").desc(), F.col("id").desc())
-    ranked = calls.withColumn("_rank", F.row_number().over(w)).join(replies, "prompt_hash", "left")
-    put = (F.col("_rank") == 1) & F.col("reply").isNotNull()
-    return ranked.withColumn("response_json", F.when(put, F.col("reply")).otherwise(F.col("response_json"))).drop("_rank", "reply")
+    """Replies (prompt_hash, reply) stored with the newest call of each prompt.
+
+    The newest calls are an aggregate, so a prompt asked very often is one row
+    of a join and not a sorted group.
+    """
+    last = calls.groupBy("prompt_hash").agg(F.max(F.struct("ts", "id"))["id"].alias("id"))
+    put = last.join(replies, "prompt_hash").select(F.col("id").alias("_id"), F.col("prompt_hash").alias("_hash"), "reply")
+    both = calls.join(put, calls["id"].eqNullSafe(put["_id"]) & (calls["prompt_hash"] == put["_hash"]), "left")
+    return both.withColumn("response_json", F.coalesce("reply", "response_json")).drop("_id", "_hash", "reply")
 
 
 def cache_ttl(days: object, default: int = 21) -> timedelta | None:

@@ -61,3 +61,11 @@ class Jobs:
 def observed(df: DataFrame, name: str) -> DataFrame:
     """``df`` with its row count reported to query listeners under ``name``."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+def histogram(runs: DataFrame, job: str, value: str, bounds: list[float]) -> DataFrame:
+    """(job, bucket, n): runs by the first bound that reaches their value, the last bucket for those beyond all."""
+    bucket = F.lit(len(bounds))
+    for i in range(len(bounds) - 1, -1, -1):
+        bucket = F.when(F.col(value) <= bounds[i], i).otherwise(bucket)
+    return runs.where(F.col(value).isNotNull()).groupBy(F.col(job).alias("job"), bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))

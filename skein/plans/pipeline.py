@@ -81,6 +81,11 @@ def schedule(tasks: DataFrame, now: datetime, with_digest: bool = False) -> Data
     return S.enqueue(tasks, new, now)[0]
 
 
+def schedule_counts(tasks: DataFrame) -> DataFrame:
+    """(task_type, scheduled, done) over all tasks."""
+    return tasks.groupBy("task_type").agg(F.count("*").alias("scheduled"), F.count_if(F.col("status") == "done").alias("done"))
+
+
 def llm_tasks(leased: DataFrame, now: datetime) -> DataFrame:
     """One task for each leased candidate."""
     return leased.where("leased").select(

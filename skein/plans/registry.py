@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import queries_more  # noqa: F401  registers its queries
 from skein.plans.queries import QUERIES, SQL
 
 

@@ -47,7 +47,8 @@ _FAMILIES = [
     _TAGGED("notion", _quoted(text.NOTION), 1),
     _TAGGED("gdoc", _quoted(text.GDOC), 1),
 ]
-ANCHORS = f"list_sort(list_distinct(list_concat({', '.join(_FAMILIES)})))"
+FAMILIES = f"list_concat({', '.join(_FAMILIES)})"
+ANCHORS = f"list_sort(list_distinct({FAMILIES}))"
 
 M = f"m AS ({MESSAGES})"
 N = (
