@@ -11,6 +11,7 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -108,6 +109,36 @@ def metrics(answered: DataFrame, events: DataFrame, model: str) -> DataFrame:
     return calls.join(F.broadcast(events.agg(F.count("*").alias("events_extracted"))), F.lit(True))  # one row each
 
 
+def errors(answered: DataFrame) -> DataFrame:
+    """(message_id, error): messages with a reply that is missing or isn't of the agreed shape."""
+    bad = answered.where(parsed(F.col("response_json")).isNull())
+    return bad.groupBy("message_id").agg(F.concat_ws(" ", F.lit("chunks without a valid reply:"), F.array_join(F.array_sort(F.collect_set(F.col("chunk_index").cast("string"))), ",")).alias("error"))
+
+
+def finish(leased: DataFrame, answered: DataFrame) -> DataFrame:
+    """The candidates of a lease with their outcome: ``llm_ok``, or ``llm_fail`` where a reply is missing or invalid."""
+    failed = errors(answered).select("message_id", F.lit(True).alias("_failed"))
+    taken = leased.where("leased").join(failed, "message_id", "left")
+    status = F.when(F.coalesce("_failed", F.lit(False)), "llm_fail").otherwise("llm_ok")
+    return taken.withColumn("status", status).withColumn("processing_started_at", F.lit(None).cast("timestamp")).drop("leased", "_failed")
+
+
+def retried(call: Callable[[str], tuple[str, int, int]]) -> Extractor:
+    """An extractor that sends each prompt to ``call`` (reply, tokens in and out), repeated as RETRIES says; a prompt that fails has no reply."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, prompt in zip(b["prompt_hash"], b["prompt"]):
+                try:
+                    rows.append((key, *retrying(lambda p=prompt: call(p))))
+                except CallFailed:
+                    rows.append((key, None, 0, 0))
+            yield pd.DataFrame(rows, columns=["prompt_hash", "response_json", "tokens_in", "tokens_out"])
+
+    return run
+
+
 def keyword_extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A stand-in without a network: a prompt that speaks of a release or a failure becomes one event."""
     for b in batches:
@@ -139,7 +170,7 @@ class CallFailed(Exception):
         self.kind = kind
 
 
-def retrying(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep) -> str:
+def retrying(call: Callable[[], Any], sleep: Callable[[float], None] = time.sleep) -> Any:
     """``call``, repeated up to three times after failures of a known kind."""
     for i in range(4):
         try:

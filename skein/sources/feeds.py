@@ -140,10 +140,10 @@ SCHEMAS = {"slack": SLACK_RAW, "telegram": TELEGRAM_RAW}
 
 
 def read_feed(spark: SparkSession, source: str, path: str, now: datetime) -> DataFrame:
-    """Messages of a named feed's landing folder."""
+    """Messages of a named feed's landing folder; lines that don't parse are no messages."""
     if source not in READERS:
         raise ValueError(f"unknown source {source!r}; known are {sorted(READERS)}")
-    raw = read_landing(spark, path, SCHEMAS[source])
+    raw = read_landing(spark, path, SCHEMAS[source]).where("_corrupt_record is null").drop("_corrupt_record")
     if source == "slack":
         raw = roots(raw)
     return READERS[source](raw, now)
