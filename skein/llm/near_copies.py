@@ -12,6 +12,7 @@ similarity. A pair at 0.8 shares no key with a chance of 3 in 100,000.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +161,7 @@ def likely_pairs(keys: DataFrame, sketches: DataFrame, least: float, whole: int,
     # a small side is written, so that a popular key's rows can be split over tasks
     lead = F.min(F.struct(F.xxhash64("id", "t").alias("h"), "id"))["id"]
     met = staged(keys.groupBy("t", "k").agg(F.count("*").alias("c"), lead.alias("lead")).where("c > 1"), "met")
-    rows = keys.join(met, ["t", "k"])
+    rows = staged(keys.join(met, ["t", "k"]).select("t", "k", "id", "c"), "rows")
     big = rows.where(F.col("c") > whole)
     s = F.when(F.col("c") > whole, F.ceil(F.col("c") / part)).otherwise(1).cast("int")
     parted = rows if grid else rows.where(F.col("c") <= whole)
@@ -186,32 +187,30 @@ def near_edges(docs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def keep_first(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, whole: int = 32, part: int = 512, max_rounds: int = 20
-) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, whole: int = 32, part: int = 512) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id.
 
-    A round links the pairs of ordinary keys and, in keys of very many ids,
-    those with a leader; what is left of the latter keys is compared again,
-    until a round finds nothing or ``max_rounds`` are over, and then in full. So no
-    two documents that stay are near copies that share a key. Rows that repeat
-    an id are the same document; rows with a null id, and texts without words
-    (null or empty), stay. Texts are compared whole at any length; an empty
-    table stays empty; other columns pass through, whatever their names.
+    A first round links all pairs of ordinary keys and, in keys of very many
+    ids, those with a leader, which leaves few of a large group. A second one
+    compares what is left in such keys in full. So no two documents that stay
+    are near copies that share a key. Rows that repeat an id are the same
+    document; rows with a null id, and texts without words (null or empty),
+    stay. Texts are compared whole at any length; an empty table stays empty;
+    other columns pass through, whatever their names.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = staged(rows.mapInArrow(_sketched, "id long, n long, sk binary, keys array<long>"), "sketches")
     sketches = made.select("id", "n", "sk")
-    left, gone, grid = made.select("id", F.posexplode("keys").alias("t", "k")), None, False
-    for r in range(max_rounds + 1):
+    left, gone = made.select("id", F.posexplode("keys").alias("t", "k")), []
+    for grid in (False, True):
         pairs, crowded = likely_pairs(left, sketches, least, whole, part, grid)
         pairs, crowded = staged(pairs, "pairs"), staged(crowded, "crowded")
         edges = staged(near_edges(rows, pairs, least), "near")
         found = staged(components(edges).where(F.col("node") != F.col("root")).select("node"), "gone")
-        gone = found if gone is None else gone.unionByName(found)
+        gone.append(found)
         release(docs.sparkSession)
-        if grid or not crowded.head(1):
+        if not crowded.head(1):
             break
-        grid = r + 1 >= max_rounds or not found.head(1)
         left = staged(crowded.join(found, F.col("id") == F.col("node"), "left_anti"), "left")  # all other keys are done
-    return docs.join(gone, docs[id_col] == gone["node"], "left_anti")
+    every = reduce(DataFrame.unionByName, gone)
+    return docs.join(every, docs[id_col] == every["node"], "left_anti")
