@@ -14,15 +14,18 @@ from datetime import datetime, timezone
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.functions import events as E
 from skein.functions.python import ratio, similarity
+from skein.operators import graph
 from skein.plans.store import staged
 
 WINDOW_HOURS, SIMILARITY = 48, 0.8
+#: Windows without an event after which what shares an identifier is no longer tied.
+GAP = 5
 
 _A = T.ArrayType(T.StringType())
 #: The columns that the rule needs; others are dropped by it.
@@ -84,36 +87,45 @@ def matching_stored(new: DataFrame, stored: DataFrame, hours: int = WINDOW_HOURS
     return _alike(_met(_keyed(new, "l"), _keyed(stored, "r"), hours), least).withColumnsRenamed({"left_id": "new_id", "right_id": "stored_id"})
 
 
-def _tokens(events: DataFrame) -> DataFrame:
-    """(event_id, token): what ties an event to others, each kind with its mark."""
+def _tokens(events: DataFrame, hours: int) -> DataFrame:
+    """(event_id, token): what ties an event to others, each kind with its mark.
+
+    A token is cut where no event that has it has any time for GAP windows of
+    ``hours``. Merging can move an event's time on, if it adds a time of a kind
+    that goes first; there are four kinds, so three steps of a window at most,
+    and one more reaches the next event. So nothing before such a gap can
+    match anything after it. A token with an event without a time isn't cut,
+    since that matches at any time.
+    """
     of = lambda mark, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x))
     keys = F.array(F.concat(F.lit("c:"), E.cluster_key()), F.concat(F.lit("d:"), F.col("dedup_key")))
-    every = F.concat(of("s:", F.col("anchors")), of("s:", F.col("links")), keys)
-    return events.select("event_id", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("token")).distinct()
-
-
-def components(events: DataFrame, max_rounds: int = 50) -> DataFrame:
+    every = F.filter(F.concat(of("s:", F.col("anchors")), of("s:", F.col("links")), keys), lambda x: x.isNotNull())
+    slot = lambda t: F.floor(F.unix_micros(t) / (hours * 3_600_000_000))
+    times = F.filter(F.array(*_TIMES), lambda t: t.isNotNull())
+    edges = F.transform(times, slot)
+    rows = staged(events.select("event_id", F.array_min(edges).alias("low"), F.array_max(edges).alias("high"), F.explode(F.array_distinct(every)).alias("token")), "tokens")
+    open_ = rows.where("low is null").select("token").distinct()
+    timed = rows.join(open_, "token", "left_anti")
+    # the slots in which a token occurs are few however popular it is
+    slots = timed.select("token", F.explode(F.array("low", "high")).alias("slot")).distinct()
+    spans = timed.where("high > low + 1").select("token", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)).alias("slot")).distinct()
+    order = Window.partitionBy("token").orderBy("slot")
+    gap = F.coalesce((F.col("slot") - F.lag("slot").over(order) > GAP).cast("int"), F.lit(0))
+    parts = slots.unionByName(spans).distinct().withColumn("gap", gap).withColumn("part", F.sum("gap").over(order)).select("token", F.col("slot").alias("low"), "part")
+    whole = rows.join(open_, "token", "left_semi").select("event_id", "token")
+    return whole.unionByName(timed.join(parts, ["token", "low"]).select("event_id", F.concat("token", F.lit("#"), F.col("part").cast("string")).alias("token"))).distinct()
+
+
+def components(events: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
     """(event_id, component): the smallest id reachable over shared tokens.
 
-    A token's smallest component passes to all its events, and an event's
-    smallest to all its tokens, until nothing changes. Each round is a written
-    table. Tokens are sides of a join, never groups of pairs.
+    Each token ties its events to the smallest of them, so a popular token
+    gives an edge an event.
     """
-    edges = staged(_tokens(events), "tokens")
-    now = staged(events.select("event_id", F.col("event_id").alias("component")), "labels")
-    for _ in range(max_rounds):
-        # written, so that the events of a popular token can be split over tasks
-        low = staged(edges.join(now, "event_id").groupBy("token").agg(F.min("component").alias("low")), "low")
-        nearest = edges.join(low, "token").groupBy("event_id").agg(F.min("low").alias("low"))
-        moved = now.join(nearest, "event_id", "left").select("event_id", F.least("component", F.coalesce("low", "component")).alias("component"))
-        # a component that itself has a smaller one is skipped over
-        jump = moved.join(moved.select(F.col("event_id").alias("component"), F.col("component").alias("next")), "component", "left")
-        new = staged(jump.select("event_id", F.least("component", F.coalesce("next", "component")).alias("component"), F.col("component").alias("seen")), "labels")
-        changed = new.join(now.withColumnRenamed("component", "before"), "event_id").where((F.col("before") != F.col("component")) | (F.col("seen") != F.col("component"))).limit(1).count()
-        now = new.select("event_id", "component")
-        if not changed:
-            return now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    tokens = staged(_tokens(events, hours), "ties")
+    low = staged(tokens.groupBy("token").agg(F.min("event_id").alias("b")), "low")
+    found = graph.components(tokens.join(low, "token").select(F.col("event_id").alias("a"), "b"))
+    return events.select("event_id").join(found.withColumnRenamed("node", "event_id"), "event_id", "left").select("event_id", F.coalesce("root", "event_id").alias("component"))
 
 
 def _time(e: dict[str, Any]) -> datetime | None:
@@ -207,12 +219,14 @@ def deduplicate(events: DataFrame, hours: int = WINDOW_HOURS, least: float = SIM
     """The events after the rule, with SCHEMA's columns.
 
     Events of a component are sorted by time, time of extraction and id. Null
-    arrays count as empty. A component is one task's group: identifiers that
-    tie very many events together make a large one, and ``component_sizes``
-    reports them.
+    arrays count as empty. A component is one task's group. It ends where an
+    identifier isn't seen for longer than ``hours``; one that ties very many
+    events together without such a gap makes a large group, which
+    ``component_sizes`` reports.
     """
     base = events.select(*[(F.coalesce(f.name, F.array().cast("array<string>")) if f.name in _ARRAYS else F.col(f.name)).cast(f.dataType).alias(f.name) for f in SCHEMA])
-    labelled = base.join(components(base), "event_id").withColumn("_t", E.sort_time())
+    base = staged(base, "events")
+    labelled = base.join(components(base, hours), "event_id").withColumn("_t", E.sort_time())
     dealt = labelled.repartition("component").sortWithinPartitions("component", "_t", "extracted_at", "event_id").select("component", *SCHEMA.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from skein.operators import dedup, digest, extract, objects
 from skein.operators import state as S
 from skein.plans import fixtures as V
 from skein.plans import sql as L
-from skein.plans.store import scratch
+from skein.plans.store import scratch, staged
 from skein.sources import feeds
 from skein.streaming import feeds as stream
 
@@ -49,12 +49,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.score_messages(messages(spark, sf_dir), V.channels(spark))
+    """Scored messages. Texts are cleaned once and written, as ingest does it: scores read the clean text several times."""
+    return C.score_messages(staged(messages(spark, sf_dir), "messages"), V.channels(spark))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of all states."""
-    s = scored(spark, sf_dir).where(F.col("score") >= F.col("threshold_score"))
+    """Candidates of all states, as a written table, which they are in a run."""
+    s = staged(scored(spark, sf_dir), "scored").where(F.col("score") >= F.col("threshold_score"))
     status = F.when(F.col("event_id") % 5 == 0, "processing").when(F.col("event_id") % 5 == 1, "llm_ok").otherwise("new")
     start = F.when(F.col("event_id") % 10 == 0, F.col("ts_dt"))
     return s.withColumn("status", status).withColumn("processing_started_at", start).withColumn("lease_attempts", F.lit(0))

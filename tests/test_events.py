@@ -104,6 +104,22 @@ def test_blocked_fold_equals_fold(spark):
     assert got == want and len(want) < 120
 
 
+def test_fold_of_components_that_are_cut_by_time(spark):
+    """Over months, with times of all kinds, so that merged times move on; most identifiers have gaps."""
+    rnd = random.Random(8)
+    start = lambda: rnd.choice([0, 30, 60, 90, 120, 150, 180, 700, 740, 780, 1500, 2000, 2040]) + rnd.randint(0, 10)
+    rows = []
+    for i in range(150):
+        base = start()
+        times = {c: T0 + timedelta(hours=base + rnd.randint(-60, 60)) for c in rnd.sample(["actual_start", "actual_end", "planned_start", "planned_end"], rnd.randint(1, 2))}
+        rows.append(event(i, anchors=rnd.sample("ABCDEF", rnd.randint(1, 2)), object_name_raw=rnd.choice(["New wallet feature", "New wallet features"]), message_id=f"m{i}", **({"actual_start": None} | times)))
+    order = lambda e: (next((e[c] for c in ("actual_start", "actual_end", "planned_start", "planned_end") if e[c]), e["extracted_at"]), e["extracted_at"], e["event_id"])
+    want = {(e["event_id"], e["dedup_key"], tuple(e["anchors"])) for e in fold(sorted(rows, key=order))}
+    events = table(spark, rows)
+    assert {(r.event_id, r.dedup_key, tuple(r.anchors)) for r in dedup.deduplicate(events).collect()} == want
+    assert dedup.component_sizes(events).count() > 1
+
+
 def test_pairs_equal_brute_force(spark):
     rnd = random.Random(6)
     rows = [
