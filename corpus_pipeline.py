@@ -1,7 +1,12 @@
 """A corpus from raw documents to packed sequences, one operator a stage.
 
 Each stage takes (spark, docs, sf_dir); docs is what the stage before kept,
-read back from Parquet. All but the last return the columns of documents.
+read back from Parquet. All but the last return the columns of documents;
+other columns, whatever their names, end there. Texts are read whole at any
+length, and an empty table passes all stages. Documents with a null id or a
+null or empty text are clean; of the empty ones that have an id near-duplicates
+keep the first, and the last stage packs an empty text as one token. What a stage decides for an id holds for all rows
+that repeat it, but for decontamination, which decides by id and text.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon scores below the threshold; labels of one fold in four stay unseen."""
+    """Documents that the lexicon scores below the threshold; labels of one fold in four stay unseen. Null and empty texts stay."""
     labels = table(spark, sf_dir, "labels").where(fold_of(F.col("doc_id"), 4) != 2)
     lexicon = toxicity.fit_lexicon(docs, labels)
     return toxicity.score_toxicity(docs, lexicon, out="toxicity").where(F.col("toxicity") < TOXIC).select(*COLUMNS)
@@ -27,14 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near-duplicates.
 
     First by fingerprints, which leaves few copies, then by five-word shingles
-    that agree in four fifths or more.
+    that agree in four fifths or more. Of texts without words, linked by
+    their equal fingerprint, one stays, and all of those with a null id.
     """
     first = staged(simhash.keep_first(docs).select(*COLUMNS), "fingerprinted")
     return near_copies.keep_first(first).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage makes up a twentieth of."""
+    """Documents that no benchmark passage makes up a twentieth of. Null and empty texts have no words and stay; rows with equal id and text go together."""
     keyed = docs.withColumn("key", F.xxhash64("text"))
     found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), carry=("key",))
     gone = found.where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
@@ -43,12 +49,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets found in them replaced."""
+    """All documents, with the secrets found in them replaced; null texts stay null, and n_chars follows the text."""
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences; a null or empty text is the end id alone."""
     return packing.pack(docs)
 
 

@@ -494,6 +494,29 @@ def test_bit_sliced_comparison(spark, radius):
     assert parts(len(fps), [(at[e.a & mask], at[e.b & mask]) for e in edges]) == parts(len(fps), np.argwhere(near))
 
 
+def test_blocks_of_a_bucket_are_abandoned():
+    """In a bucket as the join makes it, most blocks go before the last plane, and no pair is lost."""
+    rnd = np.random.default_rng(9)
+    low = np.uint64((1 << 32) - 1)
+    fps = np.unique(rnd.integers(0, 1 << 63, 700, dtype=np.uint64) & ~low | np.uint64(12345))  # two bands of 16 bits alike
+    fps = np.unique(np.concatenate([fps, fps[:50] ^ np.uint64(1 << 40) ^ np.uint64(1 << 50)]))
+    words, abandoned = -(-len(fps) // 64), []
+    edges = simhash.forest(fps, None, 2, abandoned)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    assert {frozenset(e) for e in edges} <= {frozenset((int(fps[i]), int(fps[j]))) for i, j in np.argwhere(near)}
+    parent = {int(f): int(f) for f in fps}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    assert all(root(int(fps[i])) == root(int(fps[j])) for i, j in np.argwhere(near))
+    assert sum(abandoned) > 0.5 * words * len(fps)
+
+
 # Secrets
 
 

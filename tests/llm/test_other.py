@@ -264,11 +264,26 @@ def test_near_duplicate_stage_takes_near_copies(spark, sf_dir, copies):
 
 
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a password=abcdef1234", "en", "s", 3)]
+    """What each stage keeps of null, empty, repeated and very long rows, with columns that bear the stages' own names."""
+    long = " ".join(f"plain{i}" for i in range(30000))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "a password=abcdef1234", "en", "s", 3), (3, None, "en", "s", 0), (4, long, "en", "s", 9), (4, long, "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, sf_dir).count() >= 1
-        stage(spark, docs.limit(0), sf_dir).count()
+    for name in ("toxicity", "fp", "component_id", "node", "id", "key", "row", "w", "hash", "secret_spans"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    kept = {"toxicity": [None, 1, 1, 2, 3, 4, 4], "simhash": [None, 1, 1, 2, 4, 4], "decontamination": [None, 1, 1, 2, 4, 4], "secrets": [None, 1, 1, 2, 4, 4]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        got = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=str)
+        assert sorted((i for i, _, _ in got), key=str) == sorted(kept[name], key=str)
+        if name == "secrets":
+            assert (2, "a [secret]", 10) in got and (None, None, None) in got and (4, long, len(long)) in got
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        docs = out
+    ends = corpus_pipeline.pack(spark, docs, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("of")).collect()
+    sizes = {r.doc_id: (r.n, r.of) for r in ends}
+    assert sizes[None] == (1, 1) and sizes[1] == (2, 1) and sizes[4][0] == 2 * sizes[4][1]
+    assert corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
 
 
 def test_library_stands_alone(tmp_path):
