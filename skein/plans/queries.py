@@ -411,11 +411,13 @@ def timeline(spark, sf_dir):
 # State
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS v, o_orderpriority AS kept FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS v, o_orderpriority AS kept FROM orders")
 def upsert(spark, sf_dir):
+    """Every order: even ones are stored, odd ones and multiples of three are put in, some rows twice."""
     o = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("kept"))
     target = o.where("k % 2 = 0").withColumn("v", F.lit("old"))
-    new = o.where("k % 3 = 0").select("k", F.when(F.col("k") % 2 == 0, "lost").otherwise(F.col("kept")).alias("kept"), F.lit("new").alias("v"), F.lit(1).alias("seq"))
+    fresh = o.where("k % 2 = 1 OR k % 3 = 0")
+    new = fresh.select("k", F.when(F.col("k") % 2 == 0, "lost").otherwise(F.col("kept")).alias("kept"), F.lit("new").alias("v"), F.lit(1).alias("seq"))
     stale = new.withColumn("v", F.lit("stale")).withColumn("seq", F.lit(0))
     return S.upsert(target, new.unionByName(stale), ["k"], [F.col("seq")], keep=["kept"]).select("k", "v", "kept")
 
@@ -484,13 +486,13 @@ def lease_tasks(spark, sf_dir):
     return S.lease_tasks(_tasks(spark, sf_dir), "llm", datetime(1997, 1, 1), 20).select("task_id", "leased", "status", "attempts")
 
 
-@query(f"WITH t AS ({_TASKS}) SELECT idempotency_key, place FROM (SELECT idempotency_key, 1 AS place FROM t WHERE CAST(substr(idempotency_key, 2) AS BIGINT) < 7 UNION ALL SELECT 'x' || i, 0 FROM range(3) r(i))")
+@query(f"WITH t AS ({_TASKS}) SELECT idempotency_key, place FROM (SELECT idempotency_key, 1 AS place FROM t UNION ALL SELECT 'x' || i, 0 FROM range(3) r(i))")
 def enqueue_tasks(spark, sf_dir):
+    """A batch that asks for every task that exists and three new ones."""
     t = _tasks(spark, sf_dir)
-    old = t.where(F.substr("idempotency_key", F.lit(2)).cast("long") < 7)
     cols = ["task_type", "payload", "priority", "run_at", "max_attempts", "idempotency_key"]
     fresh = spark.range(3).select(F.lit("llm").alias("task_type"), F.lit("{}").alias("payload"), F.lit(1).alias("priority"), F.lit(NOW).cast("timestamp").alias("run_at"), F.lit(3).alias("max_attempts"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("idempotency_key"))
-    _, asked = S.enqueue(t, old.select(*cols).unionByName(fresh), NOW)
+    _, asked = S.enqueue(t, t.select(*cols).unionByName(fresh), NOW)
     return asked.select("idempotency_key", "place")
 
 
@@ -552,9 +554,14 @@ def stream_hourly_counts(spark, sf_dir):
     m = raw.select(F.col("event_type").alias("channel"), F.col("ts").cast("timestamp").alias("ts_dt"), F.lit(1).alias("reactions_count"))
     name = f"hourly_{uuid.uuid4().hex}"
     counts = stream.channel_counts(m).select("channel", F.col("window.start").cast("timestamp_ntz").alias("since"), "n")
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{scratch(spark)}/{name}").start()
+    out = f"{scratch(spark)}/{name}"
+
+    def written(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/counts")  # all counts so far, by executors
+
+    run = counts.writeStream.foreachBatch(written).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(f"{out}/counts")
 
 
 # What SQL can't say

@@ -143,6 +143,29 @@ def test_objects(spark):
     assert objects.object_ids(reg).count() == 3
 
 
+def test_similar_names_are_all_met(spark):
+    """Names that differ from a synonym by as much as is allowed, anywhere, against the plain comparison of all."""
+    from skein.functions.python import ratio
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh ") for _ in range(n)).strip() or "x" for n in (1, 3, 4, 5, 9, 10, 14, 19, 20, 21, 33, 47)]
+    names = set()
+    for w in words:
+        for _ in range(60):
+            t = list(w)
+            for _ in range(rnd.randint(0, len(w) // 4 + 1)):
+                i = rnd.randrange(len(t) + 1)
+                t[i : i + rnd.randint(0, 1)] = rnd.choice(["", "z", "a"])
+            names.add("".join(t).strip())
+    reg = objects.registry(spark, {f"o{i}": [w] for i, w in enumerate(words)})
+    got = {r.object_name_raw: r.object_id for r in objects.canonicalize(spark.createDataFrame([(n,) for n in names], "object_name_raw string"), reg).collect()}
+    for n in names:
+        score = [(2.0 if n == w else ratio(n, w), -i) for i, w in enumerate(words)]
+        best = max(score)
+        assert got[n] == (f"o{-best[1]}" if n and best[0] >= 0.9 else None)
+    assert sum(v is not None for v in got.values()) > 100
+
+
 @pytest.mark.parametrize("spent, want", [(10.0, "stop"), (8.5, "best"), (8.0, "all"), (0.0, "all")])
 def test_gate(spent, want):
     from skein.operators.candidates import gate
