@@ -130,6 +130,7 @@ def importance_label(value: Column) -> Column:
     return F.when(value >= 80, "critical").when(value >= 60, "high").when(value >= 40, "medium").otherwise("low")
 
 
+# The messages of the checks below.
 def _issues(*parts: Column) -> Column:
     return F.filter(F.array(*parts), lambda x: x.isNotNull())
 

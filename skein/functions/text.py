@@ -150,6 +150,7 @@ def parse_time(raw: Column) -> Column:
     return F.when(F.rlike(raw, F.lit(r"^\d{4}-\d{2}-\d{2}")), F.regexp_replace(raw, "Z$", "+00:00").try_cast("timestamp"))
 
 
+# The phrases of the prompt.
 def prompt(text: Column, links: Column, at: Column, channel: Column) -> Column:
     """The prompt for a message: channel, time, text and up to three links."""
     listed = F.array_join(F.transform(F.slice(links, 1, 3), lambda u: F.concat(F.lit("- "), u)), "\n")

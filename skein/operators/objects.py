@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,15 @@ def registry(spark: SparkSession, objects: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "synonym_norm string, object_id string, ord int")
 
 
+def load_registry(spark: SparkSession, path: str | Path) -> DataFrame:
+    """``registry`` of a YAML file: ids with their lists of synonyms, below ``objects`` or at the top."""
+    import yaml  # optional: only a registry in a file needs it
+
+    found = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    found = found.get("objects", found)
+    return registry(spark, {k: [str(s) for s in (v.get("synonyms", []) if isinstance(v, dict) else v or [])] for k, v in found.items()})
+
+
 def _pieces(text: Column) -> Column:
     """A synonym cut into one piece more than a similar name can differ from it by characters left out or put in.
 

@@ -131,6 +131,13 @@ def attach_reply(calls: DataFrame, replies: DataFrame) -> DataFrame:
     return both.withColumn("response_json", F.coalesce("reply", "response_json")).drop("_id", "_hash", "reply")
 
 
+def spent(calls: DataFrame, day: datetime, column: str = "cost_usd") -> DataFrame:
+    """(cost): what the calls of a day cost, zero without any."""
+    start = datetime(day.year, day.month, day.day)
+    mine = calls.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(start + timedelta(days=1))))
+    return mine.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("cost"))
+
+
 def cache_ttl(days: object, default: int = 21) -> timedelta | None:
     """How long replies are kept: ``default`` days for null or nonsense; none at all for zero or less."""
     try:

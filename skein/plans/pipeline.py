@@ -9,6 +9,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions import events as E
 from skein.operators import candidates as C
 from skein.operators import dedup, digest, extract
 from skein.operators import state as S
@@ -67,6 +68,11 @@ def deduplicate(events: DataFrame, now: datetime, settings: Settings, source: st
     return S.upsert(events.select(*merged.columns), merged, ["event_id"])
 
 
+def validation_report(events: DataFrame) -> DataFrame:
+    """(issue, n): what is wrong with how many events after a merge; it only reports, no event is dropped."""
+    return events.select(F.explode(E.all_issues()).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
 def publish(events: DataFrame, now: datetime, settings: Settings) -> DataFrame:
     chosen = digest.digest_events(events, now - settings.digest_window, now, settings.min_confidence, settings.max_events)
     return digest.blocks(chosen, digest.header_text(now))

@@ -376,8 +376,7 @@ def digest_blocks(spark, sf_dir):
 
 @query("SELECT coalesce(sum(value), 0.0) AS cost FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
 def daily_cost(spark, sf_dir):
-    day = (F.col("ts") >= F.lit(datetime(2024, 1, 10))) & (F.col("ts") < F.lit(datetime(2024, 1, 11)))
-    return V.table(spark, sf_dir, "events").where(day).agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("cost"))
+    return S.spent(V.table(spark, sf_dir, "events"), datetime(2024, 1, 10, 15), "value")
 
 
 @query(f"WITH {L.M} SELECT channel, max(epoch_us(ts_dt) / 1e6) AS top FROM m GROUP BY channel")

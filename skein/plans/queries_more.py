@@ -126,6 +126,18 @@ def long_titles(spark, sf_dir):
     return e.select("event_id", E.title().alias("title"), F.coalesce(F.get(long, F.lit(0)), F.lit("")).alias("issue"))
 
 
+@query(f"{L.EVENTS_SQL} SELECT issue, count(*) AS n FROM (SELECT unnest({L.ISSUES}) AS issue FROM e) GROUP BY 1")
+def validation_report(spark, sf_dir):
+    return pipeline.validation_report(events(spark, sf_dir))
+
+
+@query(f"WITH {L.M} SELECT source_id, count(*) AS messages, count(*) FILTER (event_id % 6 = 0) AS edited FROM m GROUP BY 1")
+def edited_totals(spark, sf_dir):
+    """How many messages of a source were edited."""
+    m = messages(spark, sf_dir).withColumn("edited_ts", F.when(F.col("event_id") % 6 == 0, F.col("ts_dt").cast("string")))
+    return m.groupBy("source_id").agg(F.count("*").alias("messages"), F.count("edited_ts").alias("edited"))
+
+
 # State
 
 

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The settings of a channel that names none.
 WEIGHTS = {
     "threshold_score": 0.0, "keyword_weight": 10.0, "mention_weight": 8.0, "reply_weight": 5.0, "reaction_weight": 3.0,
     "anchor_weight": 4.0, "link_weight": 2.0, "file_weight": 3.0, "bot_penalty": -15.0,
