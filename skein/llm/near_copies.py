@@ -12,7 +12,6 @@ similarity. A pair at 0.8 shares no key with a chance of 3 in 100,000.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,12 +98,24 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _column(c: pa.Array) -> np.ndarray:
+    """Numbers as they are, sketches as rows of bytes, sets as an array each."""
+    if pa.types.is_binary(c.type):
+        return _matrix(c)
+    if pa.types.is_list(c.type):
+        out = np.empty(len(c), object)
+        for i, x in enumerate(c):
+            out[i] = x.values.to_numpy(zero_copy_only=False)
+        return out
+    return c.to_numpy(zero_copy_only=False)
+
+
 def _whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """The columns of rows that come sorted by their first ``keys`` columns, cut between keys only; the last column is the sketch."""
+    """The columns of rows that come sorted by their first ``keys`` columns, cut between keys only."""
     held: list[np.ndarray] = []
     for batch in batches:
         if batch.num_rows:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)] + [_matrix(batch.column(batch.num_columns - 1))]
+            cols = [_column(c) for c in batch.columns]
             held = [np.concatenate(c) for c in zip(held, cols)] if held else cols
             other = np.flatnonzero(np.any([c != c[-1] for c in held[:keys]], axis=0))
             if len(other):
@@ -114,24 +125,62 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[n
         yield held
 
 
-def _met(least: float):
-    """Likely pairs of rows (t, k, p, q, side, id, n, sk) of one key and parts p and q, which come sorted by those.
+def _likely_rows(cols: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of likely pairs of rows (t, k, p, q, side, id, n, sk) of one key and parts p and q.
 
     Rows of two parts meet those of the other side only. A pair that shares several bands is of the first one.
     """
+    t, k, p, q, side, i, n, sk = cols
+    for d in range(1, len(t)):
+        near = (t[d:] == t[:-d]) & (k[d:] == k[:-d]) & (p[d:] == p[:-d]) & (q[d:] == q[:-d])
+        if not near.any():  # nor are rows farther apart of one key
+            break
+        at = np.flatnonzero(near & ((side[d:] != side[:-d]) | (p[d:] == q[d:])) & (i[d:] != i[:-d]))
+        ok, same = _likely(sk[at], sk[at + d], n[at], n[at + d], least)
+        at, same = at[ok], same[ok]
+        at = at[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == t[at]]
+        if len(at):
+            yield at, at + d
+
+
+def _met(least: float):
+    """Likely pairs of rows that come sorted by t, k, p and q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _whole_keys(batches, 4):
+            for a, b in _likely_rows(cols, least):
+                yield _pairs(cols[5][a], cols[5][b])
+
+    return run
+
+
+def _verified(least: float):
+    """Near copies among rows (t, k, p, q, side, id, n, sk, s) that come sorted by the first four.
+
+    Pairs that earlier ones tie already aren't compared, so a task gives fewer edges than it has rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, k, p, q, side, i, n, sk in _whole_keys(batches, 4):
-            for d in range(1, len(t)):
-                near = (t[d:] == t[:-d]) & (k[d:] == k[:-d]) & (p[d:] == p[:-d]) & (q[d:] == q[:-d])
-                if not near.any():  # nor are rows farther apart of one key
-                    break
-                at = np.flatnonzero(near & ((side[d:] != side[:-d]) | (p[d:] == q[d:])) & (i[d:] != i[:-d]))
-                ok, same = _likely(sk[at], sk[at + d], n[at], n[at + d], least)
-                at, same = at[ok], same[ok]
-                at = at[same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == t[at]]
-                if len(at):
-                    yield _pairs(i[at], i[at + d])
+        for *cols, sets in _whole_keys(batches, 4):
+            parent = np.arange(len(sets))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            found = []
+            for at, to in _likely_rows(cols, least):
+                for x, y in zip(at.tolist(), to.tolist()):
+                    if (a := root(x)) != (b := root(y)):
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if both >= least * (len(sets[x]) + len(sets[y]) - both):
+                            parent[max(a, b)] = min(a, b)
+                            found.append((x, y))
+            if found:
+                at, to = np.array(found).T
+                yield _pairs(cols[5][at], cols[5][to])
 
     return run
 
@@ -149,32 +198,51 @@ def _led(least: float):
     return run
 
 
-def likely_pairs(keys: DataFrame, sketches: DataFrame, least: float, whole: int, part: int, grid: bool) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b), a < b, that share a key and may be near copies, and the rows of keys whose pairs weren't all looked at.
+def _dealt(rows: DataFrame, sketches: DataFrame, part: int) -> DataFrame:
+    """Rows (t, k, id, c) with their sketches, dealt to the pairs of parts of their key; a part has about ``part`` ids."""
+    parts = F.ceil(F.col("c") / part).cast("int")
+    parted = rows.select("t", "k", "id", parts.alias("parts")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
+    more = sketches.columns[1:]
+    return parted.join(sketches, "id").select("t", "k", F.explode(both).alias("x"), "id", *more).select("t", "k", "x.p", "x.q", "x.side", "id", *more)
 
-    ``keys`` has t, k and id, ``sketches`` id, n and sk. A key of ``whole`` ids
-    or fewer has all its pairs looked at. Of more, each id meets one leader,
-    another one in each band, so that a group's pairs don't grow with its
-    square; or, with ``grid``, all others, by parts of ``part`` ids, two of
-    which are a task's share.
-    """
+
+def _sorted(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q")
+
+
+def keyed(keys: DataFrame) -> DataFrame:
+    """The rows (t, k, id) of keys that several have, with their number c and a leader, another one in each band."""
     # a small side is written, so that a popular key's rows can be split over tasks
     lead = F.min(F.struct(F.xxhash64("id", "t").alias("h"), "id"))["id"]
     met = staged(keys.groupBy("t", "k").agg(F.count("*").alias("c"), lead.alias("lead")).where("c > 1"), "met")
-    rows = staged(keys.join(met, ["t", "k"]).select("t", "k", "id", "c"), "rows")
+    return staged(keys.join(met, ["t", "k"]).select("t", "k", "id", "c", "lead"), "rows")
+
+
+def likely_pairs(rows: DataFrame, sketches: DataFrame, least: float, whole: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a key and may be near copies.
+
+    ``rows`` are those of ``keyed``, ``sketches`` has id, n and sk. A key of
+    ``whole`` ids or fewer has all its pairs looked at. Of more, each id meets
+    its leader, so that a group's pairs don't grow with its square.
+    """
+    pairs = _sorted(_dealt(rows.where(F.col("c") <= whole), sketches, whole)).mapInArrow(_met(least), _PAIR)
     big = rows.where(F.col("c") > whole)
-    s = F.when(F.col("c") > whole, F.ceil(F.col("c") / part)).otherwise(1).cast("int")
-    parted = rows if grid else rows.where(F.col("c") <= whole)
-    parted = parted.withColumn("s", s).withColumn("at", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
-    both = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda o: F.struct(F.least("at", o).alias("p"), F.greatest("at", o).alias("q"), F.when(F.col("at") <= o, 0).otherwise(1).alias("side")))
-    dealt = parted.join(sketches, "id").select("t", "k", F.explode(both).alias("x"), "id", "n", "sk").select("t", "k", "x.p", "x.q", "x.side", "id", "n", "sk")
-    pairs = dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q").mapInArrow(_met(least), _PAIR)
-    if grid:
-        return pairs.distinct(), big.select("t", "k", "id").where("false")
-    leads = met.where(F.col("c") > whole).select("t", "k", "lead").join(sketches.select(F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("sk").alias("lsk")), "lead")
+    leads = big.select("t", "k", "lead").distinct().join(sketches.select(F.col("id").alias("lead"), F.col("n").alias("ln"), F.col("sk").alias("lsk")), "lead")
     leads = staged(leads.dropDuplicates(["t", "k"]), "leads")
     led = big.select("t", "k", "id").join(leads, ["t", "k"]).join(sketches, "id").select("id", "n", "sk", "lead", "ln", "lsk")
-    return pairs.unionByName(led.mapInArrow(_led(least), _PAIR)).distinct(), big.select("t", "k", "id")
+    return pairs.unionByName(led.mapInArrow(_led(least), _PAIR)).distinct()
+
+
+def crowded_edges(docs: DataFrame, rows: DataFrame, sketches: DataFrame, least: float, part: int) -> DataFrame:
+    """Edges (a, b) that tie all near copies among the ids of each key, compared in full.
+
+    Parts of ``part`` ids meet each other, two of them in a task, which holds
+    their sets and compares those pairs whose sketches are alike.
+    """
+    named = staged(rows.select("id").distinct(), "named")
+    sets = staged(docs.join(named, "id", "left_semi").mapInArrow(_sets, "id long, s array<long>"), "sets")
+    return _sorted(_dealt(rows, sketches.join(sets, "id"), part)).mapInArrow(_verified(least), _PAIR).distinct()
 
 
 def near_edges(docs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -187,7 +255,7 @@ def near_edges(docs: DataFrame, pairs: DataFrame, least: float = 0.8) -> DataFra
     return pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, whole: int = 32, part: int = 512) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, whole: int = 32, part: int = 1024) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id.
 
     A first round links all pairs of ordinary keys and, in keys of very many
@@ -201,16 +269,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = staged(rows.mapInArrow(_sketched, "id long, n long, sk binary, keys array<long>"), "sketches")
     sketches = made.select("id", "n", "sk")
-    left, gone = made.select("id", F.posexplode("keys").alias("t", "k")), []
-    for grid in (False, True):
-        pairs, crowded = likely_pairs(left, sketches, least, whole, part, grid)
-        pairs, crowded = staged(pairs, "pairs"), staged(crowded, "crowded")
-        edges = staged(near_edges(rows, pairs, least), "near")
-        found = staged(components(edges).where(F.col("node") != F.col("root")).select("node"), "gone")
-        gone.append(found)
+    rows_of = keyed(made.select("id", F.posexplode("keys").alias("t", "k")))
+    edges = staged(near_edges(rows, staged(likely_pairs(rows_of, sketches, least, whole), "pairs"), least), "near")
+    gone = staged(components(edges).where(F.col("node") != F.col("root")).select("node"), "gone")
+    release(docs.sparkSession)
+    crowded = rows_of.where(F.col("c") > whole).select("t", "k", "id").join(gone, F.col("id") == F.col("node"), "left_anti")  # all other keys are done
+    if crowded.head(1):
+        edges = staged(crowded_edges(rows, keyed(crowded), sketches, least, part), "near")
+        gone = gone.unionByName(staged(components(edges).where(F.col("node") != F.col("root")).select("node"), "gone"))
         release(docs.sparkSession)
-        if not crowded.head(1):
-            break
-        left = staged(crowded.join(found, F.col("id") == F.col("node"), "left_anti"), "left")  # all other keys are done
-    every = reduce(DataFrame.unionByName, gone)
-    return docs.join(every, docs[id_col] == every["node"], "left_anti")
+    return docs.join(gone, docs[id_col] == gone["node"], "left_anti")

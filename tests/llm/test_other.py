@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import html_text, queries, retrieval, url_filter
+from skein.llm import html_text, near_copies, queries, retrieval, url_filter
 from skein.llm.html_text import main_text
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -263,6 +263,38 @@ def test_near_duplicate_stage_takes_near_copies(spark, sf_dir, copies):
     assert got == {*range(8), 500, 501}
 
 
+def test_crowded_keys_are_compared_in_full(spark):
+    """Texts of one template, none of them near to another, and near copies of some: one of each component stays."""
+    rnd = np.random.default_rng(12)
+    base, rows = [f"b{k}" for k in range(300)], []
+    for i in range(60):
+        w = list(base)
+        for at in rnd.choice(300, 9, replace=False):
+            w[at] = f"x{i}"
+        rows.append((1000 - i, " ".join(w)))
+        if i % 3 == 0:
+            w[rnd.integers(300)] = "y"
+            rows.append((2000 - i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
+    want = {root(i) for i in sets}
+    assert 40 < len(want) < 80
+    for whole, part in ((4, 16), (1, 1000), (32, 8)):
+        assert {r.doc_id for r in near_copies.keep_first(docs, whole=whole, part=part).collect()} == want
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf_dir):
     """What each stage keeps of null, empty, repeated and very long rows, with columns that bear the stages' own names."""
     long = " ".join(f"plain{i}" for i in range(30000))
