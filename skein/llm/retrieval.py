@@ -224,8 +224,9 @@ def top_k(
     lanes = max(1, min(rest, int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
     spread = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    # queries are the streamed side, so that the pairs of a block of them come together
-    met = spread.join(buckets.where(F.col("block") > last).withColumn("lane", lane), "lane").where(F.col("longest") * F.col("q_longest") * (1 + 1e-9) >= F.col("q_least"))
+    # queries are the streamed side, so that the pairs of a block of them come together; neither side is broadcast,
+    # since both grow with the input and are several times larger than their tables on disk
+    met = spread.join(buckets.where(F.col("block") > last).withColumn("lane", lane).hint("merge"), "lane").where(F.col("longest") * F.col("q_longest") * (1 + 1e-9) >= F.col("q_least"))
     rest = met.mapInArrow(_search(k), none)
     return _ranked(start.select("query_id", "vec_id", "score").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
 
@@ -240,9 +241,9 @@ def _bounded(queries: DataFrame, bounds: DataFrame) -> DataFrame:
     """Blocks of queries with each query's bound, and the least of them over the longest query."""
     ids = queries.select("q_block", F.posexplode(_longs("q_ids")).alias("at", "query_id"))
     low = F.coalesce(F.col("low").cast("double"), F.lit(float("-inf"))).alias("low")
-    each = ids.join(bounds, "query_id", "left").select("q_block", F.struct("at", low, F.coalesce("upto", F.lit(0).cast("long")).alias("upto")).alias("x"))
+    each = ids.join(bounds.hint("merge"), "query_id", "left").select("q_block", F.struct("at", low, F.coalesce("upto", F.lit(0).cast("long")).alias("upto")).alias("x"))
     packed = each.groupBy("q_block").agg(F.array_sort(F.collect_list("x")).alias("x")).select("q_block", F.col("x.low").alias("lows"), F.col("x.upto").alias("uptos"))
-    out = queries.join(packed, "q_block")
+    out = queries.join(packed.hint("merge"), "q_block")
     return out.select("q_block", "q_longest", "q_ids", "q_vectors", _packed("lows", float).alias("q_bounds"), _packed("uptos", np.int64).alias("q_upto"), F.array_min("lows").alias("q_least"))
 
 
