@@ -53,13 +53,14 @@ def replies(asked: DataFrame, extractor: Extractor, cached: DataFrame) -> DataFr
     """Prompts with response_json and whether it came from ``cached`` (prompt_hash, response_json).
 
     Only prompts without a cached reply that parses reach the extractor, each
-    distinct prompt once.
+    distinct prompt once. Sides that grow with the candidates are never broadcast:
+    their tables are so much smaller on disk that Spark would take them for small ones.
     """
     good = cached.where(F.from_json("response_json", REPLY)["is_event"].isNotNull()).dropDuplicates(["prompt_hash"])
-    missing = asked.join(good.select("prompt_hash"), "prompt_hash", "left_anti").dropDuplicates(["prompt_hash"]).select("prompt_hash", "prompt")
+    missing = asked.join(good.select("prompt_hash").hint("merge"), "prompt_hash", "left_anti").dropDuplicates(["prompt_hash"]).select("prompt_hash", "prompt")
     new = missing.mapInPandas(extractor, "prompt_hash string, response_json string, tokens_in int, tokens_out int")
     both = good.select("prompt_hash", "response_json", F.lit(0).alias("tokens_in"), F.lit(0).alias("tokens_out"), F.lit(True).alias("cached")).unionByName(new.withColumn("cached", F.lit(False)))
-    return asked.join(both, "prompt_hash")
+    return asked.join(both.hint("merge"), "prompt_hash")
 
 
 def parsed(raw: Column) -> Column:

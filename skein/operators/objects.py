@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from skein.functions.python import similarity
 
 FUZZY = 0.9
+#: Pieces of synonyms that are broadcast; of more, names and pieces meet by a shuffle.
+PIECES = 100_000
 
 
 def registry(spark: SparkSession, objects: dict[str, list[str]]) -> DataFrame:
@@ -52,24 +54,25 @@ def canonicalize(names: DataFrame, objects: DataFrame, name_col: str = "object_n
 
     Each distinct name is looked up once. A similar pair has lengths within
     10/11 of each other and shares a piece of the synonym, so names and synonyms meet by those; of equally
-    similar synonyms the first counts.
+    similar synonyms the first counts. Names are never broadcast, however small their table is on disk.
     """
     norm = F.trim(F.lower(F.col(name_col)))
     distinct = names.select(norm.alias("n")).where(F.col("n") != "").distinct()
     exact = distinct.join(objects.select(F.col("synonym_norm").alias("n"), F.col("object_id").alias("exact_id")), "n", "left")
     cut = objects.where("synonym_norm <> ''").select("synonym_norm", F.col("object_id").alias("near_id"), "ord", F.explode(_pieces(F.col("synonym_norm"))).alias("piece"))
-    sizes = [r.size for r in cut.select(F.length("piece").alias("size")).distinct().collect()]  # lengths of pieces: a few
+    lengths = cut.groupBy(F.length("piece").alias("size")).agg(F.count("*").alias("n")).collect()  # lengths of pieces: a few
+    sizes = [r.size for r in lengths]
     rest = exact.where("exact_id is null").select("n")
     grams = lambda k: F.transform(F.sequence(F.lit(1), F.length("n") - k + 1), lambda i: F.substr("n", i, F.lit(k)))
     some = [F.when(F.length("n") >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in sizes]
     held = rest.select("n", F.explode(F.array_distinct(F.concat(*some) if some else F.array().cast("array<string>"))).alias("piece"))
     like = (F.length("n") * 9 <= F.length("synonym_norm") * 11) & (F.length("synonym_norm") * 9 <= F.length("n") * 11)
-    met = held.join(cut, "piece").where(like).select("n", "synonym_norm", "near_id", "ord").distinct()
+    met = held.join(cut.hint("broadcast" if sum(r.n for r in lengths) <= PIECES else "merge"), "piece").where(like).select("n", "synonym_norm", "near_id", "ord").distinct()
     scored = met.withColumn("s", similarity(F.col("n"), F.col("synonym_norm"))).where(F.col("s") >= FUZZY)
     best = Window.partitionBy("n").orderBy(F.col("s").desc(), "ord")
     near = scored.withColumn("k", F.row_number().over(best)).where("k = 1").select("n", "near_id")
-    found = exact.join(near, "n", "left").select("n", F.coalesce("exact_id", "near_id").alias("_found")).where("_found is not null")
-    return names.drop(out).withColumn("n", norm).join(found, "n", "left").withColumnRenamed("_found", out).drop("n")
+    found = exact.join(near.hint("merge"), "n", "left").select("n", F.coalesce("exact_id", "near_id").alias("_found")).where("_found is not null")
+    return names.drop(out).withColumn("n", norm).join(found.hint("merge"), "n", "left").withColumnRenamed("_found", out).drop("n")
 
 
 def synonyms_of(objects: DataFrame, object_id: str) -> DataFrame:

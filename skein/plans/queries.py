@@ -591,7 +591,8 @@ def dedup_counts(spark, sf_dir):
 def _answered(spark, sf_dir):
     c = candidates(spark, sf_dir).where("status = 'new'")
     none = spark.createDataFrame([], "prompt_hash string, response_json string")
-    return extract.replies(extract.prompts(c, "gpt-5-nano"), extract.keyword_extractor, none)
+    # written, so that no prompt goes to the extractor more than once
+    return staged(extract.replies(staged(extract.prompts(c, "gpt-5-nano"), "prompts"), extract.keyword_extractor, none), "answered")
 
 
 @query()
