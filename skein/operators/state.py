@@ -150,15 +150,25 @@ def cache_ttl(days: object, default: int = 21) -> timedelta | None:
 # Task queue
 
 
+#: Rows of a part in which tasks and new ones meet. Keys compress so well that parts by bytes would hold millions.
+PART = 200_000
+
+
 def enqueue(tasks: DataFrame, new: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """(all tasks, the asked-for ones): a task whose idempotency key exists isn't added, the existing one is returned, after the new."""
-    first = new.dropDuplicates(["idempotency_key"]).join(tasks.select("idempotency_key"), "idempotency_key", "left_anti")
+    """(all tasks, the asked-for ones): a task whose idempotency key exists isn't added, the existing one is returned, after the new.
+
+    Tasks and new ones meet by key in parts of about PART rows each, so a part's memory doesn't grow with the tables.
+    """
+    parts = max(tasks.count(), new.count()) // PART + 1
+    by_key = lambda df: df.repartition(parts, "idempotency_key")
+    held, given = by_key(tasks), by_key(new)
+    first = given.dropDuplicates(["idempotency_key"]).join(held.select("idempotency_key").hint("merge"), "idempotency_key", "left_anti")
     at = F.lit(now).cast("timestamp")
     fresh = first.select(
         F.sha1(F.concat(F.lit("task|"), F.col("idempotency_key"))).alias("task_id"), "task_type", "payload", "priority", "run_at", F.lit("queued").alias("status"), F.lit(0).alias("attempts"),
         "max_attempts", "idempotency_key", F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("timestamp").alias("locked_at"), at.alias("created_at"), at.alias("updated_at"),
     )
-    met = tasks.join(new.select("idempotency_key").distinct(), "idempotency_key", "left_semi")
+    met = held.join(given.select("idempotency_key").distinct().hint("merge"), "idempotency_key", "left_semi")
     asked = fresh.withColumn("place", F.lit(0)).unionByName(met.withColumn("place", F.lit(1)))
     return tasks.unionByName(fresh), asked
 
