@@ -9,12 +9,13 @@ connected components of that relation, one component a group.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +27,11 @@ from skein.plans.store import staged
 WINDOW_HOURS, SIMILARITY = 48, 0.8
 #: Windows without an event after which what shares an identifier is no longer tied.
 GAP = 5
+#: Windows in a slot in which events with a time meet.
+SPAN = 4
 
 _A = T.ArrayType(T.StringType())
-#: The columns that the rule needs; others are dropped by it.
+#: The columns of an event; others are dropped.
 SCHEMA = T.StructType(
     [T.StructField(n, t) for n, t in (
         ("event_id", T.StringType()), ("message_id", T.StringType()), ("source_channels", _A), ("extracted_at", T.TimestampType()), ("source_id", T.StringType()),
@@ -42,53 +45,112 @@ SCHEMA = T.StructType(
 )
 _ARRAYS = [f.name for f in SCHEMA if isinstance(f.dataType, T.ArrayType)]
 _TIMES = ("actual_start", "actual_end", "planned_start", "planned_end")
+#: The columns that the rule reads.
+RULE = {"event_id", "message_id", "extracted_at", "source_id", "action", "object_id", "object_name_raw", "qualifiers", "stroke", "anchor", "status", "environment", "links", "anchors", "dedup_key", *_TIMES}
+_HEX = ("event_id", "message_id", "cluster_key", "dedup_key")
 
 
-def _keyed(events: DataFrame, mark: str) -> DataFrame:
-    """A row for each identifier or link of an event, its columns marked."""
+def _rows(events: DataFrame) -> DataFrame:
+    """A row for each identifier or link of an event: ids, time, and hashes of its source with the key and of its title."""
     shared = F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("anchors", "links")]))
-    rows = events.select("event_id", "message_id", "source_id", F.unix_micros(E.event_time().cast("timestamp")).alias("t"), E.title().alias("title"), F.explode(shared).alias("key"))
-    return rows.select(*[F.col(c).alias(f"{mark}_{c}") for c in rows.columns])
+    some = events.select("event_id", "message_id", "source_id", F.unix_micros(E.event_time().cast("timestamp")).alias("t"), F.xxhash64(E.title()).alias("title"), F.explode(shared).alias("key"))
+    key = F.unhex(F.md5(F.concat("source_id", F.lit("\0"), "key")))
+    return some.where("source_id is not null and key is not null").select(key.alias("key"), "event_id", "message_id", "t", "title")
 
 
-def _met(left: DataFrame, right: DataFrame, hours: int) -> DataFrame:
-    """Pairs of marked rows that share a key and source and, where both have a time, lie within ``hours``.
+def _marked(rows: DataFrame, mark: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{mark}_{c}") for c in rows.columns])
 
-    Rows with a time meet in neighbouring slots of the window, so that a popular
-    identifier isn't compared over all time.
-    """
-    micros = hours * 3_600_000_000
-    same = (F.col("l_source_id") == F.col("r_source_id")) & (F.col("l_key") == F.col("r_key")) & (F.col("l_event_id") != F.col("r_event_id")) & (F.col("l_message_id") != F.col("r_message_id"))
-    slot = lambda c: F.floor(F.col(c) / micros)
-    timed = left.where("l_t is not null").withColumn("l_slot", slot("l_t"))
-    around = right.where("r_t is not null").withColumn("r_slot", F.explode(F.array(slot("r_t") - 1, slot("r_t"), slot("r_t") + 1)))
-    near = timed.join(around, same & (F.col("l_slot") == F.col("r_slot"))).where(F.abs(F.col("l_t") - F.col("r_t")) <= micros).drop("l_slot", "r_slot")
-    return near.unionByName(left.where("l_t is null").join(right, same)).unionByName(left.where("l_t is not null").join(right.where("r_t is null"), same))
 
+def _titles(*events: DataFrame) -> DataFrame:
+    """(h, title) of all titles by their hash; two titles of one hash, which 64 bits make next to impossible, are an error."""
+    every = reduce(DataFrame.unionByName, [e.select(E.title().alias("title")).where("title is not null") for e in events])
+    by = every.groupBy(F.xxhash64("title").alias("h")).agg(F.min("title").alias("title"), F.max("title").alias("last"))
+    same = F.when(F.col("title") == F.col("last"), F.col("title")).otherwise(F.raise_error(F.lit("two titles have one hash")).cast("string"))
+    return by.select("h", same.alias("title"))
 
-def _alike(met: DataFrame, least: float) -> DataFrame:
-    """Each pair (left_id, right_id) of ``met`` once, with the similarity of its titles, if that is ``least`` or more.
 
-    Each pair of titles is compared once, however many events bear them.
+def _alike(met: DataFrame, titles: DataFrame, least: float) -> DataFrame:
+    """Each pair (left_id, right_id, a, b) of ``met``, a and b being hashes of titles, once, with the similarity of the titles, if that is ``least`` or more.
+
+    Each pair of titles is compared once, however many events bear them. What
+    grows with the events is joined by a shuffle: it is several times larger
+    than its estimate, by which Spark would broadcast it.
     """
-    once = met.select(F.col("l_event_id").alias("left_id"), F.col("r_event_id").alias("right_id"), F.col("l_title").alias("a"), F.col("r_title").alias("b")).dropDuplicates(["left_id", "right_id"])
-    titles = once.select("a", "b").distinct().withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least)
-    return once.join(titles, ["a", "b"]).select("left_id", "right_id", "similarity")
+    once = met.dropDuplicates(["left_id", "right_id"])
+    pairs = once.select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(titles.select(F.col("h").alias(side), F.col("title").alias(f"{side}_title")).hint("merge"), side)
+    scored = pairs.withColumn("similarity", similarity(F.col("a_title"), F.col("b_title"))).where(F.col("similarity") >= least)
+    return once.join(scored.select("a", "b", "similarity").hint("merge"), ["a", "b"]).select("left_id", "right_id", "similarity")
+
+
+def _slot(t: str, micros: int) -> Column:
+    return F.floor(F.col(t) / micros).cast("int")
 
 
 def matching_pairs(events: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY) -> DataFrame:
-    """(left_id, right_id, similarity): pairs that the rule would merge, left before right by id."""
-    met = _met(_keyed(events, "l"), _keyed(events, "r"), hours)
-    return _alike(met.where("l_event_id < r_event_id"), least)
+    """(left_id, right_id, similarity): pairs that the rule would merge, left before right by id.
+
+    Rows with a time meet in slots of SPAN windows. Each lies in its own, and in
+    the next too if a window reaches it, so both of a pair are in the slot of
+    the later one. Both sides are one shuffled table.
+    """
+    micros, rows = hours * 3_600_000_000, _rows(events)
+    span = SPAN * micros
+    timed = rows.where("t is not null").withColumn("slot", F.explode(F.array_distinct(F.array(_slot("t", span), F.floor((F.col("t") + micros) / span).cast("int")))))
+    dealt = timed.withColumn("copy", (F.col("slot") != _slot("t", span)).cast("int"))
+    same = (F.col("l_key") == F.col("r_key")) & (F.col("l_message_id") != F.col("r_message_id"))
+    ahead = (F.col("l_event_id") < F.col("r_event_id")) & (F.col("l_copy") + F.col("r_copy") < 2)
+    near = _marked(dealt, "l").join(_marked(dealt, "r").hint("merge"), same & (F.col("l_slot") == F.col("r_slot")) & ahead & (F.abs(F.col("l_t") - F.col("r_t")) <= micros))
+    near = near.select(F.col("l_event_id").alias("left_id"), F.col("r_event_id").alias("right_id"), F.col("l_title").alias("a"), F.col("r_title").alias("b"))
+    # an event without a time meets all that share a key; the pair is turned round where its id is the larger
+    any_ = _marked(rows.where("t is null").drop("t"), "l").join(_marked(rows.drop("t"), "r").hint("merge"), same & (F.col("l_event_id") != F.col("r_event_id")))
+    first = F.col("l_event_id") < F.col("r_event_id")
+    turn = lambda c, d: F.when(first, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")) if d == "l" else F.when(first, F.col(f"r_{c}")).otherwise(F.col(f"l_{c}"))
+    far = any_.select(turn("event_id", "l").alias("left_id"), turn("event_id", "r").alias("right_id"), turn("title", "l").alias("a"), turn("title", "r").alias("b"))
+    return _alike(near.unionByName(far), _titles(events), least)
 
 
 def matching_stored(new: DataFrame, stored: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY) -> DataFrame:
-    """(new_id, stored_id, similarity): all stored events that each new one matches."""
-    return _alike(_met(_keyed(new, "l"), _keyed(stored, "r"), hours), least).withColumnsRenamed({"left_id": "new_id", "right_id": "stored_id"})
-
+    """(new_id, stored_id, similarity): all stored events that each new one matches.
 
-def _tokens(events: DataFrame, hours: int) -> DataFrame:
-    """(event_id, token): what ties an event to others, each kind with its mark.
+    New rows with a time meet stored ones in slots of a window, their own and both beside it.
+    """
+    micros, left, right = hours * 3_600_000_000, _marked(_rows(new), "l"), _marked(_rows(stored), "r")
+    same = (F.col("l_key") == F.col("r_key")) & (F.col("l_event_id") != F.col("r_event_id")) & (F.col("l_message_id") != F.col("r_message_id"))
+    around = left.where("l_t is not null").withColumn("l_slot", F.explode(F.array(*[_slot("l_t", micros) + i for i in (-1, 0, 1)])))
+    timed = right.where("r_t is not null").withColumn("r_slot", _slot("r_t", micros))
+    near = around.join(timed.hint("merge"), same & (F.col("l_slot") == F.col("r_slot")) & (F.abs(F.col("l_t") - F.col("r_t")) <= micros)).drop("l_slot", "r_slot")
+    met = near.unionByName(left.where("l_t is null").join(right.hint("merge"), same)).unionByName(left.where("l_t is not null").join(right.where("r_t is null").hint("merge"), same))
+    pairs = met.select(F.col("l_event_id").alias("left_id"), F.col("r_event_id").alias("right_id"), F.col("l_title").alias("a"), F.col("r_title").alias("b"))
+    return _alike(pairs, _titles(new, stored), least).withColumnsRenamed({"left_id": "new_id", "right_id": "stored_id"})
+
+
+def _tokens(events: DataFrame, hours: int, keys: bool) -> DataFrame:
+    """(event, token, low, high): hashes of an event and of what ties it to others, and the first and last slot of its times.
+
+    Ids of 64 bits do, since two that are equal by chance only tie events that
+    aren't, which the rule leaves apart. A cluster key holds its event's first
+    anchor, so it ties nothing that the anchor doesn't, unless that is empty or
+    holds the separator. A dedup key made of an event's own values ties nothing
+    that its cluster key doesn't; ``keys`` says that some are others.
+    """
+    none = F.array().cast("array<string>")
+    of = lambda mark, c: F.transform(F.coalesce(c, none), lambda x: F.concat(F.lit(mark), x))
+    first = F.coalesce(F.get("anchors", F.lit(0)), F.lit(""))
+    parts = F.concat_ws("", "action", "object_id", "object_name_raw", first)
+    cluster = F.when((first == "") | F.contains(parts, F.lit("|")), F.concat(F.lit("c:"), E.cluster_key()))
+    own = [cluster, F.concat(F.lit("d:"), F.col("dedup_key"))] if keys else [cluster]
+    every = F.filter(F.concat(of("s:", F.col("anchors")), of("s:", F.col("links")), F.array(*own)), lambda x: x.isNotNull())
+    slot = lambda t: F.floor(F.unix_micros(t) / (hours * 3_600_000_000)).cast("int")
+    edges = F.transform(F.filter(F.array(*_TIMES), lambda t: t.isNotNull()), slot)
+    token = F.explode(F.array_distinct(F.transform(every, lambda x: F.xxhash64(x))))
+    return events.select(F.xxhash64("event_id").alias("event"), F.array_min(edges).alias("low"), F.array_max(edges).alias("high"), token.alias("token"))
+
+
+def _labels(events: DataFrame, hours: int) -> DataFrame:
+    """(event, label): equal labels for the events, by hash of their id, that tokens tie together; those that nothing ties are left out.
 
     A token is cut where no event that has it has any time for GAP windows of
     ``hours``. Merging can move an event's time on, if it adds a time of a kind
@@ -96,36 +158,37 @@ def _tokens(events: DataFrame, hours: int) -> DataFrame:
     and one more reaches the next event. So nothing before such a gap can
     match anything after it. A token with an event without a time isn't cut,
     since that matches at any time.
+
+    A token's slots are few however popular it is, so its rows are grouped by
+    them before they meet, and each gets the smallest event of its part. Events
+    whose tokens agree on that are labelled; only where they differ are parts
+    tied to each other.
     """
-    of = lambda mark, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(mark), x))
-    keys = F.array(F.concat(F.lit("c:"), E.cluster_key()), F.concat(F.lit("d:"), F.col("dedup_key")))
-    every = F.filter(F.concat(of("s:", F.col("anchors")), of("s:", F.col("links")), keys), lambda x: x.isNotNull())
-    slot = lambda t: F.floor(F.unix_micros(t) / (hours * 3_600_000_000))
-    times = F.filter(F.array(*_TIMES), lambda t: t.isNotNull())
-    edges = F.transform(times, slot)
-    rows = staged(events.select("event_id", F.array_min(edges).alias("low"), F.array_max(edges).alias("high"), F.explode(F.array_distinct(every)).alias("token")), "tokens")
-    open_ = rows.where("low is null").select("token").distinct()
-    timed = rows.join(open_, "token", "left_anti")
-    # the slots in which a token occurs are few however popular it is
-    slots = timed.select("token", F.explode(F.array("low", "high")).alias("slot")).distinct()
-    spans = timed.where("high > low + 1").select("token", F.explode(F.sequence(F.col("low") + 1, F.col("high") - 1)).alias("slot")).distinct()
-    order = Window.partitionBy("token").orderBy("slot")
-    gap = F.coalesce((F.col("slot") - F.lag("slot").over(order) > GAP).cast("int"), F.lit(0))
-    parts = slots.unionByName(spans).distinct().withColumn("gap", gap).withColumn("part", F.sum("gap").over(order)).select("token", F.col("slot").alias("low"), "part")
-    whole = rows.join(open_, "token", "left_semi").select("event_id", "token")
-    return whole.unionByName(timed.join(parts, ["token", "low"]).select("event_id", F.concat("token", F.lit("#"), F.col("part").cast("string")).alias("token"))).distinct()
+    keys = bool(events.where(~F.col("dedup_key").eqNullSafe(E.dedup_key())).limit(1).count())
+    rows = _tokens(events, hours, keys)
+    group = F.xxhash64("token", "low", "high")
+    slots = rows.groupBy("token", "low", "high").agg(F.min("event").alias("least"), F.max("event").alias("most"))
+    token = Window.partitionBy("token")
+    before = token.orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1)
+    upto = token.orderBy("low", "high").rowsBetween(Window.unboundedPreceding, 0)
+    open_ = F.max(F.col("low").isNull()).over(token)
+    gap = F.coalesce((F.col("low") - F.max("high").over(before) > GAP).cast("int"), F.lit(0))
+    cut = slots.withColumn("open", open_).withColumn("gap", F.when(F.col("open"), 0).otherwise(gap)).withColumn("part", F.sum("gap").over(upto))
+    whole = Window.partitionBy("token", "part")
+    part = cut.withColumn("root", F.min("least").over(whole)).withColumn("last", F.max("most").over(whole)).where("root <> last").select(group.alias("g"), "root")
+    roots = rows.select(group.alias("g"), "event").join(part.hint("merge"), "g").groupBy("event").agg(F.min("root").alias("root"), F.collect_set("root").alias("all"))
+    tied = staged(roots.select("event", "root", F.when(F.size("all") > 1, F.col("all")).alias("all")), "ties")
+    found = graph.components(tied.where("all is not null").select(F.explode("all").alias("a"), F.col("root").alias("b")))
+    to = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return tied.select("event", "root").join(to.hint("merge"), "root", "left").select("event", F.coalesce("to", "root").alias("label"))
 
 
 def components(events: DataFrame, hours: int = WINDOW_HOURS) -> DataFrame:
-    """(event_id, component): the smallest id reachable over shared tokens.
-
-    Each token ties its events to the smallest of them, so a popular token
-    gives an edge an event.
-    """
-    tokens = staged(_tokens(events, hours), "ties")
-    low = staged(tokens.groupBy("token").agg(F.min("event_id").alias("b")), "low")
-    found = graph.components(tokens.join(low, "token").select(F.col("event_id").alias("a"), "b"))
-    return events.select("event_id").join(found.withColumnRenamed("node", "event_id"), "event_id", "left").select("event_id", F.coalesce("root", "event_id").alias("component"))
+    """(event_id, component): the smallest id reachable over shared tokens."""
+    at = F.xxhash64("event_id").alias("event")
+    labelled = events.select("event_id", at).join(_labels(events, hours).hint("merge"), "event", "left").select("event_id", F.coalesce("label", "event").alias("label"))
+    first = labelled.groupBy("label").agg(F.min("event_id").alias("component"))
+    return labelled.join(first.hint("merge"), "label").select("event_id", "component")
 
 
 def _time(e: dict[str, Any]) -> datetime | None:
@@ -169,13 +232,16 @@ def _merged(a: dict[str, Any], b: dict[str, Any]) -> dict[str, Any]:
     """``a`` with what ``b`` adds; lists are united in the order of first sight."""
     out = dict(a)
     for c, most in (("links", 3), ("source_channels", None), ("anchors", None), ("impact_area", 3), ("impact_type", None), ("qualifiers", 2)):
-        out[c] = list(dict.fromkeys(a[c] + b[c]))[:most]
+        if c in a:
+            out[c] = list(dict.fromkeys(a[c] + b[c]))[:most]
     for c in ("confidence", "importance", "time_confidence"):
-        out[c] = max((x for x in (a[c], b[c]) if x is not None), default=None)
+        if c in a:
+            out[c] = max((x for x in (a[c], b[c]) if x is not None), default=None)
     for c in _TIMES:
         out[c] = min((x for x in (a[c], b[c]) if x is not None), default=None)
     for c in ("stroke", "anchor", "severity", "why_it_matters"):
-        out[c] = a[c] or b[c]
+        if c in a:
+            out[c] = a[c] or b[c]
     out["dedup_key"] = _key(out)
     return out
 
@@ -215,36 +281,57 @@ def fold(events: list[dict[str, Any]], hours: int = WINDOW_HOURS, least: float =
     return list(kept.values())
 
 
-def deduplicate(events: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY) -> DataFrame:
-    """The events after the rule, with SCHEMA's columns.
+def _bytes_of(c: str) -> Column:
+    """A string of lower-case hexadecimal digits as its bytes, half as many; null for any other."""
+    return F.when(F.rlike(F.col(c), F.lit("^([0-9a-f]{2})+$")), F.unhex(c))
+
+
+def deduplicate(events: DataFrame, hours: int = WINDOW_HOURS, least: float = SIMILARITY, columns: Sequence[str] | None = None) -> DataFrame:
+    """The events after the rule, with SCHEMA's columns, or those of ``columns``.
 
     Events of a component are sorted by time, time of extraction and id. Null
     arrays count as empty. A component is one task's group. It ends where an
     identifier isn't seen for longer than ``hours``; one that ties very many
     events together without such a gap makes a large group, which
-    ``component_sizes`` reports.
+    ``component_sizes`` reports. Columns that neither the rule nor ``columns``
+    names aren't moved, and digests are moved as bytes.
     """
-    base = events.select(*[(F.coalesce(f.name, F.array().cast("array<string>")) if f.name in _ARRAYS else F.col(f.name)).cast(f.dataType).alias(f.name) for f in SCHEMA])
+    schema = T.StructType([f for f in SCHEMA if columns is None or f.name in columns])
+    fields = [f for f in SCHEMA if f.name in RULE or f in schema.fields]
+    base = events.select(*[(F.coalesce(f.name, F.array().cast("array<string>")) if f.name in _ARRAYS else F.col(f.name)).cast(f.dataType).alias(f.name) for f in fields])
     base = staged(base, "events")
-    labelled = base.join(components(base, hours), "event_id").withColumn("_t", E.sort_time())
-    dealt = labelled.repartition("component").sortWithinPartitions("component", "_t", "extracted_at", "event_id").select("component", *SCHEMA.names)
+    hexed = [c for c in _HEX if c in base.columns]
+    packed = [F.when(_bytes_of(c).isNull(), F.col(c)).alias(c) if c in hexed else F.col(c) for c in base.columns] + [_bytes_of(c).alias(f"{c}_bytes") for c in hexed]
+    at = F.xxhash64("event_id")
+    labelled = base.select(at.alias("event"), *packed).join(_labels(base, hours).hint("merge"), "event", "left").withColumn("event", F.coalesce("label", "event")).drop("label")
+    id_ = F.coalesce("event_id", F.lower(F.hex("event_id_bytes")))
+    dealt = labelled.repartition("event").sortWithinPartitions("event", E.sort_time(), "extracted_at", id_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
+        made = None
         now, held = None, []
+
+        def folded() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(fold(held, hours, least), made)
+
         for batch in batches:
-            schema = schema or batch.schema.remove(0)
+            if made is None:
+                kinds = {f.name: f.type for f in batch.schema}
+                made = pa.schema([(f.name, kinds[f.name]) for f in schema])
             for row in batch.to_pylist():
-                c = row.pop("component")
+                c = row.pop("event")
+                for k in hexed:
+                    if (x := row.pop(f"{k}_bytes")) is not None:
+                        row[k] = x.hex()
                 if c != now and held:
-                    yield pa.RecordBatch.from_pylist(fold(held, hours, least), schema)
+                    yield folded()
                     held = []
                 now = c
                 held.append(row)
         if held:
-            yield pa.RecordBatch.from_pylist(fold(held, hours, least), schema)
+            yield folded()
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(run, schema)
 
 
 def component_sizes(events: DataFrame) -> DataFrame:

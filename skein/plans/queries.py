@@ -579,13 +579,14 @@ def duplicate_pairs(spark, sf_dir):
 
 @query()
 def deduplicated_events(spark, sf_dir):
-    return dedup.deduplicate(events(spark, sf_dir)).select("event_id", "message_id", "confidence", "importance", "dedup_key", joined("links").alias("links"))
+    found = dedup.deduplicate(events(spark, sf_dir), columns=("event_id", "message_id", "confidence", "importance", "dedup_key", "links"))
+    return found.select("event_id", "message_id", "confidence", "importance", "dedup_key", joined("links").alias("links"))
 
 
 @query()
 def dedup_counts(spark, sf_dir):
     e = events(spark, sf_dir)
-    return dedup.dedup_counts(e, dedup.deduplicate(e))
+    return dedup.dedup_counts(e, dedup.deduplicate(e, columns=("event_id",)))
 
 
 def _answered(spark, sf_dir):

@@ -62,3 +62,23 @@ def test_memory_of_a_slice_of_texts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 160 << 20  # 24 MB of text at a time took several times that
+
+
+def test_merging_moves_only_what_is_asked_for(spark, sf_dir):
+    from skein.operators import dedup
+    from skein.plans.queries import events
+
+    e = events(spark, sf_dir)
+    some = dedup.deduplicate(e, columns=("event_id", "dedup_key", "links"))
+    assert some.columns == ["event_id", "links", "dedup_key"] and "summary" not in plan(some)
+    full = dedup.deduplicate(e)
+    assert full.columns == dedup.SCHEMA.names
+    key = lambda rows: sorted((r.event_id, r.dedup_key, tuple(r.links)) for r in rows)
+    assert key(some.collect()) == key(full.collect())
+
+
+def test_pairs_are_not_broadcast(spark, sf_dir):
+    from skein.operators import dedup
+    from skein.plans.queries import events
+
+    assert "BroadcastHashJoin" not in plan(dedup.matching_pairs(events(spark, sf_dir)))
