@@ -44,7 +44,7 @@ _ACCENTS = (re.compile("[äöüß]"), re.compile("[éèêëàâçîïôûùœ]")
 SHAPES = 24
 #: Rows of which a softmax is taken at a time, so that they stay in the cache.
 CHUNK = 2048
-#: Bytes of text that are cut into words at a time; a worker takes about 25 times as much memory for them.
+#: Bytes of text that are cut into words at a time; cutting them takes a worker about twelve times as much memory, as numpy counts it.
 TEXT = 6 << 20
 #: Weights in a row of what a trainer sends.
 PIECE = 4096
