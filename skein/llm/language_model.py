@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,6 +62,16 @@ def shape_of(word: str) -> int:
     return (accent * 3 + length) * 2 + (not word[-1:].isalpha())
 
 
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """``shape_of`` of each word; those of ASCII alone are taken from their bytes, all at once."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    letter = pc.match_substring_regex(words, r"[A-Za-z]\z").to_numpy(zero_copy_only=False)
+    out = (9 + (size > 5).astype(np.int64) + (size > 10)) * 2 + ~letter
+    other = pc.invert(pc.string_is_ascii(words))
+    out[other.to_numpy(zero_copy_only=False)] = [shape_of(w) for w in words.filter(other).to_pylist()]
+    return out
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in order, and the number of each text's: A-Z lower-cased, cut at ASCII white space."""
     low = pc.ascii_lower(texts.cast(pa.string()).fill_null(""))
@@ -92,8 +102,14 @@ class Vocabulary:
     def head(self) -> int:
         return min(len(self.words), self.size * self.classes)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words)}
+    def index(self) -> pa.Array:
+        """The words; a word's id is its place among them."""
+        return pa.array(self.words, pa.string())
+
+    def end(self) -> int:
+        """Network input of the end token."""
+        end = END.encode()
+        return int(self.inputs(np.array([self.words.index(end) if end in self.words else -1 - shape_of(END)]))[0])
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:
         """Network input of each id: a frequent word or a shape; ids below zero are -1 - shape."""
@@ -138,11 +154,16 @@ class Network:
         held = np.arange(self.classes * self.size) < vocabulary.head
         self.bw[:] = np.where(held, np.log(c + 0.5), -30).reshape(self.classes, self.size)
 
-    def gates(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each input keeps of the state, and its candidate."""
-        a = _squash(self.embed @ self.wx + self.bx)
+    def gates(self, some: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """What each input, or each of some, keeps of the state, and its candidate."""
+        a = _squash(self.embed[some] @ self.wx + self.bx)
         return np.ascontiguousarray(0.5 + 0.5 * a[:, : self.state]), np.ascontiguousarray(a[:, self.state :])
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """``_lines`` of the classes' weights and of all words', and whether either is wide."""
+        (wc, wide), (ww, wider) = _lines(self.wc, self.bc), _lines(self.ww, self.bw)
+        return wc, ww, wide or wider
+
     def labels(self) -> np.ndarray:
         """The class of each input."""
         top = self.classes * self.size
@@ -156,28 +177,40 @@ def _squash(a: np.ndarray) -> np.ndarray:
 _LINE, _ZERO, _LEAST = np.float32(2**23 / math.log(2)), np.float32(127 * 2**23), np.float32(2**23)
 
 
-def _rise(x: np.ndarray) -> np.ndarray:
-    """exp with straight lines between the powers of two, never zero; changes ``x``.
+def _lines(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Weights, the biases below them, that give `_rise` its argument for a state followed by a one, and whether
+    some argument may lie outside what a float's bits hold: states lie between -1 and 1, so the weights bound it."""
+    reach = np.abs(w).sum(axis=-2)
+    out = np.empty((*w.shape[:-2], w.shape[-2] + 1, w.shape[-1]), np.float32)
+    np.multiply(w, _LINE, out=out[..., :-1, :])
+    out[..., -1, :] = b * _LINE + _ZERO
+    return out, bool((b + reach).max() > 60 or (b - reach).min() < -86)
+
+
+def _rise(x: np.ndarray, wide: bool) -> np.ndarray:
+    """exp with straight lines between the powers of two, never zero, of what `_lines` makes of logits; changes ``x``.
 
     A float's bits, read as a whole number, are such a line already. Where a
     value could grow too large its row is divided by a power of two, which
     leaves the shares as they are.
     """
-    if x.size and float(x.max()) > 60:
-        x -= np.ceil(x.max(axis=1, keepdims=True) / math.log(2)).astype(np.float32) * np.float32(math.log(2))
-    x *= _LINE
-    x += _ZERO
-    np.maximum(x, _LEAST, out=x)
+    if wide:
+        if x.size and float(x.max()) > 60 * _LINE + _ZERO:
+            x -= np.ceil((x.max(axis=1, keepdims=True) - _ZERO) / _LEAST) * _LEAST
+        np.maximum(x, _LEAST, out=x)
     return x.astype(np.int32).view(np.float32)
 
 
+_ONES = np.ones(1 << 12, np.float32)
+
+
 def _ones(n: int) -> np.ndarray:
-    return np.ones(n, np.float32)
+    return _ONES[:n] if n <= len(_ONES) else np.ones(n, np.float32)
 
 
-def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the share of one place a row; changes ``logits``."""
-    e = _rise(logits)
+def _log_share(lines: np.ndarray, at: np.ndarray, wide: bool) -> np.ndarray:
+    """log of the share of one place a row; changes ``lines``."""
+    e = _rise(lines, wide)
     return np.log(e[np.arange(len(at)), at] / (e @ _ones(e.shape[1])))
 
 
@@ -189,8 +222,10 @@ def _parts(a: int, b: int) -> Iterator[tuple[int, int]]:
 def log_probabilities(net: Network, inputs: list[np.ndarray], group: int = 1024, window: int = 32) -> np.ndarray:
     """Natural log of each sequence's class and in-class probabilities (frequent words), summed.
 
-    Sequences run side by side, the longest first, in windows of steps; the
-    state is carried from window to window, so a sequence is one whole.
+    Sequences run side by side, the longest first, in windows of steps, more of
+    them where fewer sequences are left, so that softmaxes are always taken of
+    many rows; the state is carried from window to window, so a sequence is one
+    whole.
     """
     lengths = np.array([len(x) for x in inputs], np.int64)
     return log_of(net, np.concatenate([np.zeros(0, np.int64), *inputs]), lengths, group, window)
@@ -200,33 +235,36 @@ def log_of(net: Network, flat: np.ndarray, lengths: np.ndarray, group: int = 102
     """``log_probabilities`` of sequences that follow each other in ``flat``."""
     out = np.zeros(len(lengths))
     keep, candidate = net.gates()
-    take, labels = (1 - keep) * candidate, net.labels()
+    take, labels, (wc, ww, wide) = (1 - keep) * candidate, net.labels(), net.lines()
     begin, order = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable")
     for g in range(0, len(order), group):
         part = order[g : g + group]
         size, first = lengths[part], begin[part]
-        h = np.zeros((len(part), net.state), np.float32)
-        for at in range(0, int(size[0]), window):
-            t = at + np.arange(min(window, int(size[0]) - at))
+        h, at = np.zeros((len(part), net.state), np.float32), 0
+        while at < size[0]:
+            t = at + np.arange(min(window * group, int(size[0]) - at))
             active = np.searchsorted(-size, -t)  # sequences longer than t
+            fits = max(1, int(np.searchsorted(np.cumsum(active), window * group, "right")))
+            t, active, at = t[:fits], active[:fits], at + fits
             row = np.arange(active.sum()) - np.repeat(np.cumsum(active) - active, active)
             x = flat[first[row] + np.repeat(t, active)]
-            kept, taken, states, p = keep[x], take[x], np.empty((len(x), net.state), np.float32), 0
-            for n in active:
+            kept, taken, states, p = keep[x], take[x], np.ones((len(x), net.state + 1), np.float32), 0
+            for n in active.tolist():
                 now = h[:n]
-                states[p : p + n] = now
+                states[p : p + n, :-1] = now
                 now *= kept[p : p + n]
                 now += taken[p : p + n]
                 p += n
             which = np.argsort(labels[x], kind="stable")
-            label, x, states = labels[x][which], x[which], states[which]
+            x, states = x[which], states[which]
+            label = labels[x]
             log = np.empty(len(x), np.float32)
             for a, b in _parts(0, len(x)):
-                log[a:b] = _log_share(states[a:b] @ net.wc + net.bc, label[a:b])
+                log[a:b] = _log_share(states[a:b] @ wc, label[a:b], wide)
             edges = np.searchsorted(label, np.arange(net.classes + 1))
             for c in np.flatnonzero(np.diff(edges)):
                 for a, b in _parts(edges[c], edges[c + 1]):
-                    log[a:b] += _log_share(states[a:b] @ net.ww[c] + net.bw[c], x[a:b] - c * net.size)
+                    log[a:b] += _log_share(states[a:b] @ ww[c], x[a:b] - c * net.size, wide)
             out[part] += np.bincount(row[which], log, len(part))
     return out
 
@@ -238,14 +276,20 @@ class Trainer:
         self.net, self.end, self.rate = net, end, rate
         self.first, self.second, self.count = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
         self.grad, self.labels = Network(net.classes, net.size, net.width, net.state), net.labels()
+        self.small = np.int16 if len(self.labels) < 1 << 15 else np.int64  # short numbers are sorted faster
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The state after a window (streams x steps of inputs) that began in state ``h``."""
         net, ids = self.net, np.ascontiguousarray(ids.T)
         (steps, streams), flat = ids.shape, ids.ravel()
-        gate, candidate = net.gates()
-        f, c = (x[flat].reshape(steps, streams, net.state) for x in (gate, candidate))
-        taken, ends = (1 - f) * c, [np.flatnonzero(row == self.end) for row in ids]
+        order = np.argsort(flat.astype(self.small), kind="stable")
+        x = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        some, place = x[first], np.empty(len(x), np.int64)  # gates depend on the input alone: one of each
+        place[order] = np.repeat(np.arange(len(some)), np.diff(first, append=len(x)))
+        gate, candidate = net.gates(some)
+        f, taken = (a[place].reshape(steps, streams, net.state) for a in (gate, (1 - gate) * candidate))
+        ends = [np.flatnonzero(row == self.end) for row in ids]
         states = np.empty((steps + 1, streams, net.state), np.float32)
         states[0] = h
         for t in range(steps):
@@ -253,69 +297,81 @@ class Trainer:
             states[t + 1] += taken[t]
             states[t + 1][ends[t]] = 0
         self.grad.flat[:] = 0
-        ds = self._softmax(states[:-1].reshape(-1, net.state), flat).reshape(f.shape)
+        s = np.ones((len(x), net.state + 1), np.float32)
+        s[:, :-1] = states[:-1].reshape(-1, net.state)[order]
+        ds = np.empty((len(x), net.state), np.float32)
+        ds[order] = self._softmax(s, x)
+        ds = ds.reshape(f.shape)
         dn, dh = np.empty_like(f), np.zeros((streams, net.state), np.float32)  # what reaches each step's new state
         for t in range(steps - 1, -1, -1):
             dh[ends[t]] = 0
             dn[t] = dh
             dh *= f[t]
             dh += ds[t]
-        self._inputs(flat, (states[:-1] - c) * dn, (1 - f) * dn, f, c)
+        both = np.empty((len(x), 2 * net.state), np.float32)
+        both[:, net.state :] = dn.reshape(-1, net.state)[order]
+        np.multiply(s[:, :-1], both[:, net.state :], out=both[:, : net.state])
+        self._inputs(some, np.add.reduceat(both, first, axis=0), gate, candidate)
         self._adam()
         return states[-1]
 
-    def _softmax(self, s: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """The states' gradient; that of the softmax's weights is kept."""
-        net, grad, label = self.net, self.grad, self.labels[flat]
-        order = np.argsort(label, kind="stable")
-        label, x, s, scale = label[order], flat[order], s[order], np.float32(1 / len(flat))
-        ds = np.empty_like(s)
-
-        def shares(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            e = _rise(logits)
-            e /= (e @ _ones(e.shape[1]))[:, None]
-            e[np.arange(len(at)), at] -= 1
-            e *= scale
+    def _softmax(self, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The gradient of states that stand, each followed by a one, in the order of inputs ``x``; that of the
+        softmax's weights is kept."""
+        net, grad, label, scale = self.net, self.grad, self.labels[x], np.float32(1 / len(x))
+        (wc, ww, wide), ds = net.lines(), np.empty((len(x), net.state), np.float32)
+
+        def shares(lines: np.ndarray, at: np.ndarray) -> np.ndarray:
+            e = _rise(lines, wide)
+            e *= (scale / (e @ _ones(e.shape[1])))[:, None]
+            e[np.arange(len(at)), at] -= scale
             return e
 
         for a, b in _parts(0, len(x)):
-            d = shares(s[a:b] @ net.wc + net.bc, label[a:b])
-            grad.wc += (d.T @ s[a:b]).T
-            grad.bc += _ones(b - a) @ d
+            d = shares(s[a:b] @ wc, label[a:b])
+            both = d.T @ s[a:b]
+            grad.wc += both[:, :-1].T
+            grad.bc += both[:, -1]
             np.matmul(d, net.wc.T, out=ds[a:b])
         edges = np.searchsorted(label, np.arange(net.classes + 1))
         for c in np.flatnonzero(np.diff(edges)):
             for a, b in _parts(edges[c], edges[c + 1]):
-                d = shares(s[a:b] @ net.ww[c] + net.bw[c], x[a:b] - c * net.size)
-                grad.ww[c] += (d.T @ s[a:b]).T
-                grad.bw[c] += _ones(b - a) @ d
+                d = shares(s[a:b] @ ww[c], x[a:b] - c * net.size)
+                both = d.T @ s[a:b]
+                grad.ww[c] += both[:, :-1].T
+                grad.bw[c] += both[:, -1]
                 ds[a:b] += d @ net.ww[c].T
-        out = np.empty_like(ds)
-        out[order] = ds
-        return out
+        return ds
 
-    def _inputs(self, flat: np.ndarray, df: np.ndarray, dc: np.ndarray, f: np.ndarray, c: np.ndarray) -> None:
-        """The gradient of the embedding and of what makes gates and candidates of it."""
+    def _inputs(self, some: np.ndarray, sums: np.ndarray, f: np.ndarray, c: np.ndarray) -> None:
+        """The gradient of the embedding and of what makes gates and candidates of it, from the sums over each input
+        of its states times what reaches the next, and of the latter."""
         net, grad, k = self.net, self.grad, self.net.state
-        da = np.empty((len(flat), 2 * k), np.float32)
-        da[:, :k] = (df * 0.5 * (1 - np.abs(2 * f - 1)) ** 2).reshape(-1, k)  # x / (1 + |x|) has the slope (1 - |y|)^2
-        da[:, k:] = (dc * (1 - np.abs(c)) ** 2).reshape(-1, k)
-        grad.wx[:] = (da.T @ net.embed[flat]).T
-        grad.bx[:] = _ones(len(flat)) @ da
-        each = np.ascontiguousarray((da @ net.wx.T).T)
-        for j in range(net.width):
-            grad.embed[:, j] = np.bincount(flat, each[j], len(net.embed))
+        da = np.empty_like(sums)
+        da[:, :k] = (sums[:, :k] - c * sums[:, k:]) * (0.5 * (1 - np.abs(2 * f - 1)) ** 2)  # x / (1 + |x|) has the slope (1 - |y|)^2
+        da[:, k:] = (1 - f) * sums[:, k:] * (1 - np.abs(c)) ** 2
+        grad.wx[:] = (da.T @ net.embed[some]).T
+        grad.bx[:] = _ones(len(some)) @ da
+        grad.embed[some] = da @ net.wx.T
 
     def _adam(self) -> None:
-        g = self.grad.flat
+        g, first, second = self.grad.flat, self.first, self.second
         norm = float(np.sqrt(g @ g))
         if norm > 1:
             g /= norm
         self.count += 1
-        self.first += np.float32(0.1) * (g - self.first)
-        self.second += np.float32(0.001) * (g * g - self.second)
-        scale = np.sqrt(self.second) * np.float32((1 - 0.999**self.count) ** -0.5) + np.float32(1e-8)
-        self.net.flat -= np.float32(self.rate / (1 - 0.9**self.count)) * self.first / scale
+        first *= np.float32(0.9)
+        first += np.float32(0.1) * g
+        second *= np.float32(0.999)
+        g *= g
+        g *= np.float32(0.001)
+        second += g
+        np.sqrt(second, out=g)
+        g *= np.float32((1 - 0.999**self.count) ** -0.5)
+        g += np.float32(1e-8)
+        np.divide(first, g, out=g)
+        g *= np.float32(self.rate / (1 - 0.9**self.count))
+        self.net.flat -= g
 
     def sequence(self, tokens: np.ndarray, streams: int, window: int) -> None:
         """Steps over a sequence that is cut into ``streams`` at most, the last few tokens included."""
@@ -396,7 +452,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @F.arrow_udf(T.IntegerType())
 def _shape(tokens: pa.Array) -> pa.Array:
-    return pa.array([shape_of(t) for t in tokens.to_pylist()], pa.int32())
+    return pa.array(shapes_of(tokens.cast(pa.string())), pa.int32())
 
 
 def count_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -441,33 +497,40 @@ class Encoded:
 
     ids: np.ndarray  # -1 - shape for a word that isn't known
     lengths: np.ndarray
-    words: pa.Array  # distinct words
+    words: pa.Array  # distinct ones of these
     rows: np.ndarray  # text, index into words and number of times, for each unknown word of each text
     which: np.ndarray
     times: np.ndarray
 
 
-def encode(texts: pa.Array, index: dict[bytes, int]) -> Encoded:
-    """The tokens of each text, its end last. Each distinct word is looked up once."""
+def encode(texts: pa.Array, index: Iterable[bytes]) -> Encoded:
+    """The tokens of each text, its end last. ``index`` are the known words in the order of their ids."""
     words, counts = words_of(texts)
-    coded = pa.concat_arrays([words, pa.array([END])]).dictionary_encode()
-    code, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    get = index.get
-    of = np.fromiter((k if (k := get(w)) is not None else -1 - shape_of(w.decode()) for w in distinct.cast(pa.binary()).to_pylist()), np.int64, len(distinct))
-    rows = np.arange(len(counts))
+    known = index if isinstance(index, pa.Array) else pa.array(list(index), pa.string())
     lengths = counts + 1
     ends = np.cumsum(lengths) - 1
     at = np.ones(int(lengths.sum()), bool)
     at[ends] = False
-    which = np.full(len(at), code[-1])
-    which[at] = code[:-1]
-    ids = of[which]
+    found = pc.index_in(words, value_set=known)
+    ids = np.empty(len(at), np.int64)
+    ids[at] = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+    end = pc.index_in(pa.array([END]), value_set=known)[0].as_py()
+    ids[ends] = -1 if end is None else end
+    rest = words.filter(found.is_null())
     unknown = np.flatnonzero(ids < 0)
-    pair, times = np.unique(np.repeat(rows, lengths)[unknown] * len(distinct) + which[unknown], return_counts=True)
-    return Encoded(ids, lengths, distinct, pair // len(distinct), pair % len(distinct), times)
+    if end is None:
+        mixed = np.full(len(unknown), END, object)
+        mixed[at[unknown]] = rest.to_pylist()
+        rest = pa.array(mixed, pa.string())
+    coded = rest.dictionary_encode()
+    code, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    ids[unknown] = -1 - shapes_of(distinct)[code]
+    text = np.searchsorted(ends, unknown)
+    pair, times = np.unique(text * len(distinct) + code, return_counts=True)
+    return Encoded(ids, lengths, distinct, pair // max(1, len(distinct)), pair % max(1, len(distinct)), times)
 
 
-def sequences(texts: pa.Array, index: dict[bytes, int], vocabulary: Vocabulary) -> list[np.ndarray]:
+def sequences(texts: pa.Array, index: Iterable[bytes], vocabulary: Vocabulary) -> list[np.ndarray]:
     """The network's inputs of each text."""
     got = encode(texts, index)
     return np.split(vocabulary.inputs(got.ids), np.cumsum(got.lengths)[:-1]) if len(got.lengths) else []
@@ -530,7 +593,7 @@ def fit_network(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, flat, second, count = shared.value
             index, net = v.index(), Network(v.classes, v.size, flat=flat.copy())
-            end = int(v.inputs(np.array([index.get(END.encode(), -1 - shape_of(END))]))[0])
+            end = v.end()
             trainer = Trainer(net, end, rate)
             trainer.second[:], trainer.count = second, count
 

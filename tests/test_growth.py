@@ -64,6 +64,51 @@ def test_memory_of_a_slice_of_texts():
     assert peak < 160 << 20  # 24 MB of text at a time took 310 MB, 6 MB take 77
 
 
+def test_softmaxes_of_long_texts_are_taken_of_many_rows(monkeypatch):
+    import numpy as np
+
+    from skein.llm import language_model as L
+
+    net, calls, real = L.Network(3, 4, width=5, state=6), [], L._log_share
+    net.flat[:] = np.random.default_rng(1).normal(0, 0.4, len(net.flat)).astype(np.float32)
+    monkeypatch.setattr(L, "_log_share", lambda *a: calls.append(len(a[1])) or real(*a))
+    L.log_probabilities(net, [np.arange(n) % 12 for n in (6000, 5, 40)])
+    assert len(calls) <= 12 and min(calls) > 1500  # 752 calls when each window of 32 steps took its own
+
+
+def test_words_and_gates_are_worked_out_once(monkeypatch):
+    import numpy as np
+
+    from skein.llm import language_model as L
+
+    seen, sizes, shape, squash = [], [], L.shape_of, L._squash
+    monkeypatch.setattr(L, "shape_of", lambda w: seen.append(w) or shape(w))
+    monkeypatch.setattr(L, "_squash", lambda a: sizes.append(len(a)) or squash(a))
+    words = ["plain", "é", "señor12345", "x1", "Ünicode-words", "elevenchars", "sixsix", "a\x00", "١"]
+    texts = [" ".join(words) * 2, "", " é  plain "]
+    got = L.encode(pa.array(texts), [b"\n", b"x1"])
+    assert all(not w.isascii() for w in seen)  # each ASCII word was asked for by itself
+    known = {L.END: 0, "x1": 1}
+    assert got.ids.tolist() == [known.get(w, -1 - shape(w)) for t in texts for w in [*t.split(), L.END]]
+    trainer = L.Trainer(L.Network(30, 40), end=0)
+    trainer.step(np.array([[3, 5, 5, 7], [7, 3, 5, 3]]), np.zeros((2, 24), np.float32))
+    assert sizes == [3]  # those of all 1,224 inputs
+
+
+def test_logits_beyond_a_floats_bits_keep_their_shares():
+    import numpy as np
+
+    from skein.llm import language_model as L
+
+    w, b = np.random.default_rng(2).normal(0, 1, (6, 9)).astype(np.float32), np.zeros(9, np.float32)
+    states, at = np.random.default_rng(3).uniform(-1, 1, (50, 7)).astype(np.float32), np.arange(50) % 9
+    states[:, -1] = 1
+    (lines, wide), (far, beyond) = L._lines(w, b), L._lines(w, b + np.float32(128 * np.log(2)))
+    assert not wide and beyond
+    assert np.allclose(L._log_share(states @ lines, at, wide), L._log_share(states @ far, at, beyond), atol=1e-4)
+    assert np.isfinite(L._log_share(states @ L._lines(w, b + np.float32(1e5))[0], at, True)).all()
+
+
 def test_merging_moves_only_what_is_asked_for(spark, sf_dir):
     from skein.operators import dedup
     from skein.plans.queries import events
